@@ -1,0 +1,36 @@
+"""Joins of a large table with a table of files or keys, safe for hot files and hot keys."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 200_000
+SALTS = 32
+
+
+def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a narrow table has at most `max_rows` rows; reads no more than it must."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def join_lookup(
+    rows: DataFrame,
+    lookup: DataFrame,
+    on: list[str],
+    how: str,
+    *,
+    spread: list[str],
+    max_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """Join `rows` with a narrow table that has one row per key.
+
+    The lookup is broadcast only when it was counted and found small. Otherwise it is copied
+    once per salt and `rows` are spread over the salts by `spread`, so that a key holding a
+    third of all rows is worked on by many tasks. Right for inner, left, semi and anti joins.
+    """
+    if is_small(lookup, max_rows):
+        return rows.join(F.broadcast(lookup), on, how)
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
+    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
