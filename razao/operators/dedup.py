@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from razao.operators.normalize import ROW_ERRORS
 from razao.operators.skew import is_small, join_lookup
 
 
@@ -37,25 +38,30 @@ def new_rows(
     first = first_per_key(rows, key, order or ["file_path", "record_index"])
     if stored is None:
         return first
-    return first.join(stored_keys(rows.select(key).distinct(), stored, key), key, "left_anti")
+    return first.join(stored_keys(rows.select(key), stored, key), key, "left_anti")
 
 
 def file_summary(rows: DataFrame) -> DataFrame:
-    """One row per file: facts of the file, row count, first error, span of days.
+    """One row per file: facts of the file, row and error counts, first error.
 
     `rows` hold one empty row (null `record_index`) for a file without transactions.
+    Strings are grouping keys and the error travels as a number, so this stays a hash
+    aggregate with map-side partial results.
     """
     has_row = F.col("record_index").isNotNull()
-    return rows.groupBy("file_path").agg(
-        F.min("file_name").alias("file_name"),
-        F.min("file_hash").alias("file_hash"),
-        F.min("source").alias("source"),
-        F.min("file_error").alias("file_error"),
-        F.count(F.when(has_row, 1)).alias("row_count"),
-        F.count(F.when(has_row, F.col("error"))).alias("error_count"),
-        F.min(F.when(has_row, F.col("error"))).alias("row_error"),
-        F.min("date").alias("first_day"),
-        F.max("date").alias("last_day"),
+    codes = F.array(*[F.lit(e) for e in ROW_ERRORS])
+    code = F.when(has_row & F.col("error").isNotNull(), F.array_position(codes, F.col("error")))
+    return (
+        rows.groupBy("file_path", "file_name", "file_hash", "source", "file_error")
+        .agg(
+            F.count(F.when(has_row, 1)).alias("row_count"),
+            F.count(code).alias("error_count"),
+            F.min(code).alias("_code"),
+            F.min("date").alias("first_day"),
+            F.max("date").alias("last_day"),
+        )
+        .withColumn("row_error", F.get(codes, F.col("_code").cast("int") - 1))
+        .drop("_code")
     )
 
 

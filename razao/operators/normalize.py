@@ -8,6 +8,19 @@ from pyspark.sql import functions as F
 from razao.fixed_values import CURRENCY, PRECISION, STATEMENT_DATE_FORMAT
 from razao.functions import dates, identity, money, text
 
+# Why a row is no valid transaction, in the order in which they are reported.
+ROW_ERRORS = (
+    "date_empty",
+    "date_invalid",
+    "amount_empty",
+    "amount_without_digits",
+    "amount_invalid",
+    "amount_zero",
+    "direction_invalid",
+    "amount_sign_conflict",
+    "amount_out_of_range",
+)
+
 
 def normalize(
     staging: DataFrame,

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import math
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from razao.fixed_values import PAGE_SIZE, SOURCE_LABELS
+from razao.fixed_values import PAGE_SIZE, PRECISION, SOURCE_LABELS
 from razao.functions import money
 from razao.operators.skew import is_small
 
-SORT_KEYS = {"date": "data", "value": "_abs"}
+SORT_KEYS = {"date": "data", "value": "amount_in_units"}
 
 
 def transaction_view(ledger: DataFrame) -> DataFrame:
+    """One row per transaction as shown; `amount_in_units` stays for exact work."""
     col = F.col
     signed = F.when(col("direction") == "in", col("amount_in_units")).otherwise(
         -col("amount_in_units")
@@ -26,7 +30,7 @@ def transaction_view(ledger: DataFrame) -> DataFrame:
         money.to_decimal(signed).alias("valor"),
         F.coalesce("bank_name", "source").alias("banco_origem"),
         F.coalesce("own_transfer", F.lit(False)).alias("propria"),
-        signed.alias("units"),
+        "amount_in_units",
     )
 
 
@@ -39,17 +43,19 @@ def filter_view(
     min_value: float | str = 0,
     search: str = "",
 ) -> DataFrame:
-    """The five controls of the table; an empty control filters nothing."""
+    """The five controls of the table; an empty control filters nothing.
+
+    Kind and least value compare stored columns, so they reach the Parquet scan.
+    """
     if bank:
         view = view.filter(F.col("banco_origem") == bank)
-    if kind == "entrada":
-        view = view.filter(F.col("units") > 0)
-    elif kind == "saida":
-        view = view.filter(F.col("units") < 0)
+    if kind in ("entrada", "saida"):
+        view = view.filter(F.col("tipo") == kind)
     if own is not None:
         view = view.filter(F.col("propria") == F.lit(own))
-    if min_value:
-        view = view.filter(F.abs("valor") >= F.lit(str(min_value)).cast("decimal(38,10)"))
+    least = math.ceil(Decimal(str(min_value or 0)) * 10**PRECISION)
+    if least > 0:
+        view = view.filter(F.col("amount_in_units") >= F.lit(least))
     if search:
         wanted = F.lower(F.lit(search))
         view = view.filter(
@@ -58,7 +64,7 @@ def filter_view(
     return view
 
 
-def _order_columns(key: str, descending: bool) -> list[Column]:
+def _order(key: str, descending: bool) -> list[Column]:
     lead = F.col(SORT_KEYS[key])
     return [
         lead.desc() if descending else lead.asc(), F.col("data").desc(), F.col("id").desc()
@@ -67,8 +73,7 @@ def _order_columns(key: str, descending: bool) -> list[Column]:
 
 def sort_view(view: DataFrame, key: str = "date", descending: bool = True) -> DataFrame:
     """By day or absolute value; ties keep the load order (newest first, then id)."""
-    ranked = view.withColumn("_abs", F.abs("units"))
-    return ranked.orderBy(*_order_columns(key, descending)).drop("_abs")
+    return view.orderBy(*_order(key, descending))
 
 
 def page(
@@ -79,26 +84,19 @@ def page(
 
     The work grows with the offset; walk deep tables with `page_after`.
     """
-    ranked = view.withColumn("_abs", F.abs("units")).orderBy(*_order_columns(key, descending))
-    return ranked.offset(number * size).limit(size).drop("_abs")
+    return sort_view(view, key, descending).offset(number * size).limit(size)
 
 
 def page_after(
     view: DataFrame, last, key: str = "date", descending: bool = True, size: int = PAGE_SIZE
 ) -> DataFrame:
     """The page behind `last`, a row of the page before: any depth at the cost of one page."""
-    ranked = view.withColumn("_abs", F.abs("units"))
-    lead = F.col(SORT_KEYS[key])
-    lead_value = F.lit(last["data"] if key == "date" else abs(last["units"]))
+    lead, value = F.col(SORT_KEYS[key]), F.lit(last[SORT_KEYS[key]])
     day, row_id = F.lit(last["data"]), F.lit(last["id"])
-    beyond = lead < lead_value if descending else lead > lead_value
+    beyond = lead < value if descending else lead > value
     tie = (F.col("data") < day) | ((F.col("data") == day) & (F.col("id") < row_id))
-    return (
-        ranked.filter(beyond | ((lead == lead_value) & tie))
-        .orderBy(*_order_columns(key, descending))
-        .limit(size)
-        .drop("_abs")
-    )
+    rest = view.filter(beyond | ((lead == value) & tie))
+    return sort_view(rest, key, descending).limit(size)
 
 
 def page_count(view: DataFrame, size: int = PAGE_SIZE) -> DataFrame:
@@ -108,13 +106,12 @@ def page_count(view: DataFrame, size: int = PAGE_SIZE) -> DataFrame:
 
 def totals(view: DataFrame) -> DataFrame:
     """Count, volume, money in and money out of a view, summed as integers."""
-    units = F.col("units")
-    zero = F.lit(0).cast("bigint")
+    units, zero = F.col("amount_in_units"), F.lit(0).cast("bigint")
     return view.agg(
         F.count(F.lit(1)).alias("transactions"),
-        F.coalesce(F.sum(F.abs(units)), zero).alias("volume_units"),
-        F.coalesce(F.sum(F.when(units > 0, units)), zero).alias("in_units"),
-        F.coalesce(F.sum(F.when(units < 0, -units)), zero).alias("out_units"),
+        F.coalesce(F.sum(units), zero).alias("volume_units"),
+        F.coalesce(F.sum(F.when(F.col("tipo") == "entrada", units)), zero).alias("in_units"),
+        F.coalesce(F.sum(F.when(F.col("tipo") == "saida", units)), zero).alias("out_units"),
     )
 
 
