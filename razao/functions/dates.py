@@ -22,8 +22,21 @@ _ISO_TIME = (
 )
 
 
-def _calendar_day(year: Column, month: Column, day: Column) -> Column:
+def date_parts(raw: Column, date_format: str | None = None) -> Column:
+    """The three parts of a date string in the order they are written, null if it has not
+    the shape of `date_format`; without a format, of an ISO day or moment."""
+    text = trim(raw)
+    if date_format is None:
+        moment = F.when(text.rlike(_ISO_TIME), F.to_date(text.try_cast("timestamp")))
+        day = F.when(text.rlike(_ISO_DAY), text).otherwise(moment.cast("string"))
+        return F.split(day, "-")
+    return F.when(text.rlike(_PARTS), F.split(text, "[/-]"))
+
+
+def day_of_parts(parts: Column, date_format: str | None = None) -> Column:
     """The day, null if the calendar has none; years below 100 are refused."""
+    names = DATE_FORMATS[date_format or "yyyy-MM-dd"]
+    year, month, day = (parts[names.index(name)] for name in ("year", "month", "day"))
     day_number = day.try_cast("int")
     text = F.concat_ws(
         "-", F.lpad(year, 4, "0"), month, F.lpad(day_number.cast("string"), 2, "0")
@@ -35,18 +48,9 @@ def _calendar_day(year: Column, month: Column, day: Column) -> Column:
 
 def parse_date(raw: Column, date_format: str | None = None) -> Column:
     """Day of a date string, null if it is invalid, or ambiguous without a format."""
-    text = trim(raw)
-    if date_format is None:
-        iso = F.when(F.left(text, F.lit(4)) >= "0100", text.try_cast("date"))
-        moment = F.when(text.rlike(_ISO_TIME), F.to_date(text.try_cast("timestamp")))
-        return F.when(text.rlike(_ISO_DAY), iso).otherwise(moment)
-    if date_format not in DATE_FORMATS:
+    if date_format is not None and date_format not in DATE_FORMATS:
         raise ValueError(f"unsupported date format: {date_format}")
-    parts = F.split(text, "[/-]")
-    named = {name: parts[i] for i, name in enumerate(DATE_FORMATS[date_format])}
-    return F.when(
-        text.rlike(_PARTS), _calendar_day(named["year"], named["month"], named["day"])
-    )
+    return day_of_parts(date_parts(raw, date_format), date_format)
 
 
 def date_error(raw: Column, day: Column) -> Column:

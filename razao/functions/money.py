@@ -47,7 +47,7 @@ def amount_value(digits: Column, decimal_separator: str | None = None) -> Column
             )
             .otherwise(F.translate(digits, ".,", ""))
         )
-    return F.when(plain.rlike("[0-9]"), plain.try_cast(DECIMAL))
+    return plain.try_cast(DECIMAL)
 
 
 def parse_amount(raw: Column, decimal_separator: str | None = None) -> Column:

@@ -54,7 +54,8 @@ def collapse(col: Column) -> Column:
 
 
 def blank_to_null(col: Column) -> Column:
-    return F.nullif(col, F.lit(""))
+    """Null for the empty string; evaluates its argument once, unlike a comparison."""
+    return F.get(F.array_remove(F.array(col), ""), 0)
 
 
 def strip_accents(col: Column) -> Column:
@@ -71,50 +72,83 @@ def strip_accents_exact(values: pd.Series) -> pd.Series:
     return values.str.normalize("NFD").str.replace(_MARKS, "", regex=True)
 
 
+def fold(col: Column, *, exact: bool = False) -> Column:
+    """Lower case without accents: the common first step of all keys."""
+    return F.lower(strip_accents_exact(col) if exact else strip_accents(col))
+
+
+def cluster_of_folded(folded: Column) -> Column:
+    text = F.regexp_replace(folded, EMOJI_PATTERN, "")
+    text = F.regexp_replace(text, r"(?<![a-z0-9_])[0-9]{3,}(?![a-z0-9_])", "")
+    return words_of_folded(text)
+
+
+def words_of_folded(folded: Column) -> Column:
+    return F.trim(F.regexp_replace(folded, "[^a-z0-9]+", " "))
+
+
+def party_of_words(words: Column) -> Column:
+    stop = r"\b(?:" + "|".join(COUNTERPARTY_STOP_TERMS) + r")\b"
+    left = F.regexp_replace(F.regexp_replace(words, stop, " "), " +", " ")
+    return blank_to_null(F.trim(left))
+
+
+def own_of_words(description_words: Column, counterparty_words: Column) -> Column:
+    words = F.concat_ws(" ", description_words, counterparty_words)
+    return F.when(words.rlike("|".join(OWN_TRANSFER_STRONG_TERMS)), F.lit(True))
+
+
 def identity_text(col: Column, *, exact: bool = False) -> Column:
     """Text as it enters a row's identity: no accents, lower case, single blanks."""
-    plain = strip_accents_exact(col) if exact else strip_accents(col)
-    return collapse(F.lower(plain))
+    return collapse(fold(col, exact=exact))
 
 
 def cluster_key(col: Column) -> Column:
     """Description without the parts that vary between visits to the same merchant."""
-    text = F.lower(strip_accents(col))
-    text = F.regexp_replace(text, EMOJI_PATTERN, "")
-    text = F.regexp_replace(text, r"(?<![A-Za-z0-9_])[0-9]{3,}(?![A-Za-z0-9_])", "")
-    return F.trim(F.regexp_replace(text, "[^a-z0-9]+", " "))
+    return cluster_of_folded(fold(col))
 
 
 def plain_words(col: Column) -> Column:
     """Lower-case ASCII letters and digits, separated by single blanks."""
-    return F.trim(F.regexp_replace(F.lower(strip_accents(col)), "[^a-z0-9]+", " "))
+    return words_of_folded(fold(col))
 
 
-def counterparty_name(col: Column) -> Column:
-    """Name of the person or company inside a raw description; null if none is left."""
-    text = trim(col)
-    captured = F.regexp_extract(text, "(?iu)" + _java(COUNTERPARTY_CAPTURE_PATTERN), 1)
+def captured_name(trimmed: Column) -> Column:
+    """Name before a masked or plain tax number, empty if there is none.
+
+    Texts without a hyphen before a digit or bullet are not searched at all.
+    """
+    pattern = "(?iu)" + _java(COUNTERPARTY_CAPTURE_PATTERN)
+    candidate = trimmed.rlike(rf"-{WHITESPACE_CLASS}*[•0-9]")
+    return F.when(candidate, F.regexp_extract(trimmed, pattern, 1)).otherwise("")
+
+
+def remaining_name(trimmed: Column) -> Column:
+    """What is left of a description without its kind, its second part and its remark."""
     ws = WHITESPACE_CLASS
-    name = F.regexp_replace(text, "(?iu)" + _java(COUNTERPARTY_PREFIX_PATTERN), "")
-    name = F.split(name, f"{ws}+-{ws}+", 2)[0]
-    name = F.regexp_replace(name, rf"{ws}*\([^)]*\){ws}*\z", "")
-    name = F.btrim(name, F.lit("-" + WHITESPACE_CHARS))
+    name = F.regexp_replace(trimmed, "(?iu)" + _java(COUNTERPARTY_PREFIX_PATTERN), "")
+    name = F.get(F.split(name, f"{ws}+-{ws}+", 2), 0)
+    name = F.regexp_replace(name, rf"{ws}*+\([^)]*\){ws}*\z", "")
+    return blank_to_null(collapse(F.btrim(name, F.lit("-" + WHITESPACE_CHARS))))
+
+
+def name_of(trimmed: Column, captured: Column) -> Column:
     return F.when(captured != "", blank_to_null(trim(captured))).otherwise(
-        blank_to_null(collapse(name))
+        remaining_name(trimmed)
     )
 
 
+def counterparty_name(col: Column) -> Column:
+    """Name of the person or company inside a raw description; null if none is left."""
+    trimmed = trim(col)
+    return name_of(trimmed, captured_name(trimmed))
+
+
 def counterparty_key(col: Column) -> Column:
     """Key under which a counterparty's transactions are grouped; null if only noise."""
-    stop = r"\b(?:" + "|".join(COUNTERPARTY_STOP_TERMS) + r")\b"
-    return blank_to_null(
-        F.trim(F.regexp_replace(F.regexp_replace(plain_words(col), stop, " "), " +", " "))
-    )
+    return party_of_words(plain_words(col))
 
 
 def own_transfer(description: Column, counterparty: Column) -> Column:
     """True for transfers between own accounts, else null (never false)."""
-    words = F.concat_ws(
-        " ", blank_to_null(plain_words(description)), blank_to_null(plain_words(counterparty))
-    )
-    return F.when(words.rlike("|".join(OWN_TRANSFER_STRONG_TERMS)), F.lit(True))
+    return own_of_words(plain_words(description), plain_words(counterparty))

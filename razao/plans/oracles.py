@@ -167,9 +167,9 @@ SELECT rid AS source_row_id, sha256({IDENTITY}) AS id,
   sha256(concat_ws('|', CAST(epoch_ms(CAST(date AS TIMESTAMP)) AS VARCHAR),
     CAST(units AS VARCHAR), direction)) AS possible_duplicate_key FROM v""",
     "row_identity_fnv": V + f"""
-SELECT rid AS source_row_id, 'fp_' || lpad(to_hex(list_reduce(
+SELECT rid AS source_row_id, 'fp_' || lpad(lower(to_hex(list_reduce(
     list_transform(string_split(s, ''), lambda c: CAST(ord(c) AS BIGINT)),
-    lambda h, c: (xor(h, c) * 16777619) & 4294967295, CAST(2166136261 AS BIGINT))), 8, '0')
+    lambda h, c: (xor(h, c) * 16777619) & 4294967295, CAST(2166136261 AS BIGINT)))), 8, '0')
   AS fingerprint
 FROM (SELECT rid, {IDENTITY} AS s FROM v)""",
     "inter_line_roundtrip": """
