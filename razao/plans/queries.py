@@ -21,6 +21,7 @@ from razao.session import scratch_root
 from razao.sources import files as source_files
 from razao.sources import statements
 from razao.sources.store import LedgerStore
+from razao.streaming.arrivals import follow_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 col = F.col
@@ -516,6 +517,19 @@ def import_large_files(spark, sf_dir):
     return _monthly(store.ledger())
 
 
+def import_stream(spark, sf_dir):
+    """The statement files imported as a stream of arrivals, ten files at a time."""
+    store = _new_store(spark)
+    inbox = f"{store.root}-inbox"
+    sample.write_inter_statements(spark, sf_dir, f"{inbox}/inter", ROWS_PER_FILE)
+    sample.write_nubank_statements(spark, sf_dir, f"{inbox}/nubank", ROWS_PER_FILE)
+    stream = follow_folder(
+        spark, store, inbox, f"{store.root}-checkpoint", files_per_trigger=10, once=True
+    )
+    stream.awaitTermination()
+    return _monthly(store.ledger())
+
+
 def cascade_delete(spark, sf_dir):
     """The orders ledger stored as one file per nation, the nations of AFRICA deleted."""
     store = _new_store(spark)
@@ -557,7 +571,7 @@ QUERIES: dict[str, Query] = {
         detect_dialect, file_preview, encoding_fallback, dedup_reimport, file_hash_guard,
         reject_file_on_error, row_errors, suspected_duplicates, suspected_rows, monthly_rollup,
         counterparty_ranking, counterparty_ranking_by_ranges, spending_clusters,
-        recurring_patterns, import_statements, import_again, import_large_files, cascade_delete,
+        recurring_patterns, import_statements, import_again, import_large_files, import_stream, cascade_delete,
         export_roundtrip,
     )
 }
