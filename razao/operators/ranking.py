@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from razao.operators.skew import is_small
+from razao.operators.skew import is_small, join_lookup
 from razao.session import materialize
 
 ONE_TASK_ROWS = 100_000
@@ -16,10 +16,11 @@ def dense_rank_desc(
 ) -> DataFrame:
     """Dense rank of `column`, largest first.
 
-    Up to `one_task_rows` rows are ranked by a plain window. Beyond, the distinct values are
+    The input, usually an aggregate of a much larger table, is written once. Up to `one_task_rows` rows are ranked by a plain window. Beyond, the distinct values are
     range-partitioned and written once, ranked inside each range, and shifted by the number
     of values in the ranges above.
     """
+    df = materialize(df, "rank-input")
     if is_small(df, one_task_rows):
         return df.withColumn(alias, F.dense_rank().over(Window.orderBy(F.col(column).desc())))
     value = F.col(column)
@@ -40,4 +41,5 @@ def dense_rank_desc(
         .join(F.broadcast(offsets), "_range")
         .select(column, (F.col("_above") + F.col("_inside")).cast("int").alias(alias))
     )
-    return df.join(ranks, column)
+    others = [c for c in df.columns if c != column]
+    return join_lookup(df, ranks, [column], "inner", spread=others)

@@ -244,6 +244,14 @@ SELECT file_path, count(*) AS row_count, count(*) FILTER (units <= 0) AS error_c
        WHEN count(*) FILTER (units < 0) > 0 THEN 'amount_sign_conflict' END AS row_error,
   DATE '2024-03-15' AS first_day, DATE '2024-03-15' AS last_day
 FROM b GROUP BY file_path""",
+    "occurrence_identity": """
+WITH r AS (
+  SELECT event_type AS file_path, CAST(ts AS DATE) AS date, event_id,
+    CAST(floor(CAST(value AS DECIMAL(18, 2))) * 100 + 1 AS BIGINT) AS amount_in_units FROM events)
+SELECT file_path, date, amount_in_units, event_id, CAST(1 AS BIGINT) AS rows,
+  'occ-' || CAST(row_number() OVER (PARTITION BY file_path, date, amount_in_units
+    ORDER BY event_id) - 1 AS VARCHAR) AS source_row_id
+FROM r""",
     "suspected_duplicates": V + """
 SELECT date, units AS amount_in_units, direction, count(*) AS transactions,
   count(DISTINCT event_type) AS files

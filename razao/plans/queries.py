@@ -12,10 +12,11 @@ from razao.functions import csv, dates, identity, money, text
 from razao.operators import analytics, views
 from razao.operators.dedup import file_summary, new_files, new_rows, without_bad_files
 from razao.operators.normalize import normalize
+from razao.operators.occurrence import with_occurrence_ids
 from razao.operators.skew import join_lookup
 from razao.plans import sample_ledgers as sample
 from razao.plans.importer import import_batch, import_staged
-from razao.plans.sample_ledgers import events_ledger, orders_ledger, table
+from razao.plans.sample_ledgers import events_ledger, orders_ledger, table, wide_table
 from razao.schema import ImportTemplate
 from razao.session import scratch_root
 from razao.sources import files as source_files
@@ -43,6 +44,7 @@ def summary_cards(spark, sf_dir):
 def monthly_totals(spark, sf_dir):
     """Flagship: staged rows, normalized, de-duplicated, summed per month."""
     rows = normalize(sample.orders_staging(spark, sf_dir)).filter(col("error").isNull())
+    rows = rows.select("id", "file_path", "record_index", "date", "amount_in_units", "direction")
     kept = new_rows(rows, None).withColumn("month", F.trunc("date", "month"))
     units = col("amount_in_units")
     return kept.groupBy("month").agg(
@@ -146,7 +148,7 @@ def money_display(spark, sf_dir):
 def money_parse_formats(spark, sf_dir):
     price = col("l_extendedprice")
     brazilian = sample.brazilian(price)
-    items = table(spark, sf_dir, "lineitem").select(
+    items = wide_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
         F.explode(F.array(
             F.struct(F.lit("pt").alias("style"), F.concat(F.lit("R$ "), brazilian).alias("raw")),
@@ -168,7 +170,7 @@ def money_parse_formats(spark, sf_dir):
 
 def date_parse_formats(spark, sf_dir):
     day = col("o_orderdate")
-    orders = table(spark, sf_dir, "orders").select(
+    orders = wide_table(spark, sf_dir, "orders").select(
         "o_orderkey",
         dates.parse_date(F.date_format(day, "dd/MM/yyyy"), "dd/MM/yyyy").alias("br"),
         dates.parse_date(F.date_format(day, "MM-dd-yyyy"), "MM/dd/yyyy").alias("us"),
@@ -182,26 +184,26 @@ def date_parse_formats(spark, sf_dir):
 
 def event_days(spark, sf_dir):
     millis = F.unix_millis(col("ts").cast("timestamp"))
-    return table(spark, sf_dir, "events").select(
+    return wide_table(spark, sf_dir, "events").select(
         "event_id", dates.day_of_millis(millis).alias("day"),
         dates.day_millis(dates.day_of_millis(millis)).alias("day_ms"),
     )
 
 
 def identity_texts(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(
+    return wide_table(spark, sf_dir, "documents").select(
         "doc_id", text.identity_text(col("text")).alias("key")
     )
 
 
 def cluster_keys(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(
+    return wide_table(spark, sf_dir, "documents").select(
         "doc_id", text.cluster_key(col("text")).alias("key")
     )
 
 
 def text_safety(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select(
+    pages = wide_table(spark, sf_dir, "pages").select(
         "page_id", col("html").alias("description"), text.cluster_key(col("html")).alias("key"),
         text.counterparty_key(col("html")).alias("party"),
     )
@@ -231,7 +233,7 @@ def counterparty_keys(spark, sf_dir):
 
 
 def own_transfer_flag(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").select(
+    orders = wide_table(spark, sf_dir, "orders").select(
         "o_orderkey",
         F.when(col("o_orderpriority") == "5-LOW", "Transferência  entre CONTAS")
         .otherwise(sample.order_description()).alias("description"),
@@ -267,7 +269,7 @@ def _records(rows: DataFrame, source: str, headers: list[str], delimiter: str) -
 
 
 def inter_line_roundtrip(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders")
+    orders = wide_table(spark, sf_dir, "orders")
     sign = F.when(col("o_orderstatus") == "F", "").otherwise("-")
     line = F.concat_ws(
         ";", F.date_format("o_orderdate", "dd/MM/yyyy"), F.lit("Pix "), sample.order_description(),
@@ -282,7 +284,7 @@ def inter_line_roundtrip(spark, sf_dir):
 
 
 def nubank_line_roundtrip(spark, sf_dir):
-    events = table(spark, sf_dir, "events")
+    events = wide_table(spark, sf_dir, "events")
     signed = F.when(sample.event_direction() == "in", col("value")).otherwise(-col("value"))
     line = F.concat_ws(
         ",", F.date_format("ts", "dd/MM/yyyy"), sample.plain(signed),
@@ -308,7 +310,7 @@ def generic_line_roundtrip(spark, sf_dir):
         "\t", F.date_format("l_shipdate", "yyyy-MM-dd"), col("l_partkey").cast("string"),
         F.when(credit, amount).otherwise(""), F.when(credit, "").otherwise(amount),
     )
-    lines = table(spark, sf_dir, "lineitem").select(
+    lines = wide_table(spark, sf_dir, "lineitem").select(
         (col("l_orderkey") * 10 + col("l_linenumber")).alias("record_index"), line.alias("line")
     )
     records = _records(lines, "generic", ["dia", "peca", "credito", "debito"], "\t")
@@ -323,7 +325,7 @@ def generic_line_roundtrip(spark, sf_dir):
 
 def _document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in the shape of whole files."""
-    return table(spark, sf_dir, "documents").select(
+    return wide_table(spark, sf_dir, "documents").select(
         col("doc_id").cast("string").alias("file_path"), "source", "lang",
         col("doc_id").cast("string").alias("file_name"),
         csv.clean_text(col("text")).alias("text"),
@@ -361,7 +363,7 @@ def file_preview(spark, sf_dir):
 def encoding_fallback(spark, sf_dir):
     """Texts that fit ISO-8859-1 stored in it, all others in UTF-8, read back by 'auto'."""
     fits = col("text").rlike(r"\A[\x{00}-\x{FF}]*+\z")
-    stored = table(spark, sf_dir, "documents").select(
+    stored = wide_table(spark, sf_dir, "documents").select(
         "doc_id",
         F.when(fits, F.encode(F.when(fits, col("text")), "ISO-8859-1"))
         .otherwise(F.encode("text", "UTF-8")).cast("string").alias("bytes"),
@@ -428,6 +430,20 @@ def row_errors(spark, sf_dir):
     )
 
 
+def occurrence_identity(spark, sf_dir):
+    """Events of one type on one day are equal rows but for their amount's full units; each
+    gets its rank among equals."""
+    staging = sample.events_staging(spark, sf_dir).withColumns({
+        "source_row_id": F.lit(""), "description": col("file_path"),
+        "amount_raw": F.concat(F.substring_index("amount_raw", ".", 1), F.lit(".01")),
+    })
+    rows = normalize(staging, date_format=None)
+    ranked = with_occurrence_ids(rows, chunk_records=1000)
+    return ranked.groupBy("file_path", "date", "amount_in_units", "source_row_id").agg(
+        F.count(F.lit(1)).alias("rows"), F.min("record_index").alias("event_id")
+    )
+
+
 def suspected_duplicates(spark, sf_dir):
     return analytics.suspected_duplicates(events_ledger(spark, sf_dir)).select(
         "date", "amount_in_units", "direction", "transactions", "files"
@@ -540,10 +556,8 @@ def cascade_delete(spark, sf_dir):
         col("n_regionkey") == col("r_regionkey"),
     ).select(col("n_nationkey").cast("string").alias("name"))
     store.delete_files(store.files().join(nations, "name", "left_semi").select("id"))
-    ledger = store.ledger().join(
-        F.broadcast(store.files().select(col("id").alias("file_id"), col("name").alias("nation"))),
-        "file_id",
-    )
+    names = store.files().select(col("id").alias("file_id"), col("name").alias("nation"))
+    ledger = join_lookup(store.ledger(), names, ["file_id"], "inner", spread=["id"])
     return ledger.groupBy("nation").agg(
         F.count(F.lit(1)).alias("transactions"), F.sum("amount_in_units").alias("units")
     )
@@ -569,7 +583,7 @@ QUERIES: dict[str, Query] = {
         cluster_keys, text_safety, counterparty_keys, own_transfer_flag, row_identity,
         row_identity_fnv, inter_line_roundtrip, nubank_line_roundtrip, generic_line_roundtrip,
         detect_dialect, file_preview, encoding_fallback, dedup_reimport, file_hash_guard,
-        reject_file_on_error, row_errors, suspected_duplicates, suspected_rows, monthly_rollup,
+        reject_file_on_error, row_errors, occurrence_identity, suspected_duplicates, suspected_rows, monthly_rollup,
         counterparty_ranking, counterparty_ranking_by_ranges, spending_clusters,
         recurring_patterns, import_statements, import_again, import_large_files, import_stream, cascade_delete,
         export_roundtrip,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from razao.functions.text import counterparty_name
 from razao.operators.normalize import normalize
 from razao.schema import STAGING
+from razao.session import spread
 
 ISO_MILLIS = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 
@@ -16,6 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def wide_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows cost much work each, on all cores even if it is a single file.
+
+    Large tables have more splits than the cluster has cores and are left as they are.
+    """
+    return spread(table(spark, sf_dir, name))
+
+
 def brazilian(amount: Column) -> Column:
     """A number as Brazilian statements print it."""
     return F.translate(F.format_number(amount, 2), ",.", ".,")
@@ -33,7 +42,7 @@ def as_staging(rows: DataFrame, values: dict[str, Column]) -> DataFrame:
 
 
 def orders_with_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders, customers = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    orders, customers = wide_table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     return orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
 
 
@@ -74,7 +83,7 @@ def event_direction() -> Column:
 
 def events_staging(spark: SparkSession, sf_dir: str) -> DataFrame:
     user = F.col("user_id").cast("string")
-    return as_staging(table(spark, sf_dir, "events"), {
+    return as_staging(wide_table(spark, sf_dir, "events"), {
         "file_path": F.col("event_type"),
         "file_name": F.col("event_type"),
         "source": F.lit("generic"),
@@ -97,7 +106,7 @@ def events_ledger(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
 def lineitem_staging(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
     supplier = F.col("l_suppkey").cast("string")
-    return as_staging(table(spark, sf_dir, "lineitem"), {
+    return as_staging(wide_table(spark, sf_dir, "lineitem"), {
         "file_path": supplier,
         "file_name": supplier,
         "source": F.lit("generic"),
@@ -115,7 +124,7 @@ def lineitem_staging(spark: SparkSession, sf_dir: str) -> DataFrame:
 def write_inter_statements(spark: SparkSession, sf_dir: str, path: str, rows_per_file: int) -> None:
     """Orders as Inter statements: each output file carries its own header line."""
     (
-        table(spark, sf_dir, "orders")
+        wide_table(spark, sf_dir, "orders")
         .select(
             F.date_format("o_orderdate", "dd/MM/yyyy").alias("Data Lançamento"),
             F.when(F.col("o_orderstatus") == "F", "Pix recebido").otherwise("Pix enviado")
@@ -143,7 +152,7 @@ def write_nubank_statements(
         F.col("event_id").cast("string"),
     )
     (
-        table(spark, sf_dir, "events")
+        wide_table(spark, sf_dir, "events")
         .filter(F.round(F.col("value") * 100) > 0)
         .select(
             F.date_format("ts", "dd/MM/yyyy").alias("Data"),

@@ -28,6 +28,12 @@ def local_session(cores: str = "*", app: str = "razao", shuffle_partitions: int
     return session
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a scan with fewer splits than there are cores, dealt out to all cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """Folder for intermediate tables: the one the cluster names in spark.checkpoint.dir.
 
