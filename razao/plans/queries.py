@@ -534,13 +534,13 @@ def import_large_files(spark, sf_dir):
 
 
 def import_stream(spark, sf_dir):
-    """The statement files imported as a stream of arrivals, ten files at a time."""
+    """The statement files imported as a stream of arrivals, thirty files at a time."""
     store = _new_store(spark)
     inbox = f"{store.root}-inbox"
     sample.write_inter_statements(spark, sf_dir, f"{inbox}/inter", ROWS_PER_FILE)
     sample.write_nubank_statements(spark, sf_dir, f"{inbox}/nubank", ROWS_PER_FILE)
     stream = follow_folder(
-        spark, store, inbox, f"{store.root}-checkpoint", files_per_trigger=10, once=True
+        spark, store, inbox, f"{store.root}-checkpoint", files_per_trigger=30, once=True
     )
     stream.awaitTermination()
     return _monthly(store.ledger())
