@@ -27,7 +27,8 @@ def date_parts(raw: Column, date_format: str | None = None) -> Column:
     the shape of `date_format`; without a format, of an ISO day or moment."""
     text = trim(raw)
     if date_format is None:
-        moment = F.when(text.rlike(_ISO_TIME), F.to_date(text.try_cast("timestamp")))
+        utc = F.to_utc_timestamp(text.try_cast("timestamp"), F.current_timezone())
+        moment = F.when(text.rlike(_ISO_TIME), F.to_date(utc))
         day = F.when(text.rlike(_ISO_DAY), text).otherwise(moment.cast("string"))
         return F.split(day, "-")
     return F.when(text.rlike(_PARTS), F.split(text, "[/-]"))

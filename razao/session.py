@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,6 +35,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+@lru_cache(maxsize=1)
+def _local_scratch() -> str:
+    return tempfile.mkdtemp(prefix="razao-")
+
+
 def scratch_root(spark: SparkSession) -> str:
     """Folder for intermediate tables: the one the cluster names in spark.checkpoint.dir.
 
@@ -44,9 +50,7 @@ def scratch_root(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    folder = tempfile.mkdtemp(prefix="razao-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return _local_scratch()
 
 
 def materialize(df: DataFrame, label: str, root: str | None = None) -> DataFrame:
