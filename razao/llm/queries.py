@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from razao.llm.chat import OP10_SQL, op10_chat
 from razao.llm.mixing import OP8_SQL, op8_mixing
+from razao.llm.quality_rules import op6_quality_rules
 from razao.llm.sharding import op1_sharding
 
-QUERIES = {"op1_sharding": op1_sharding, "op8_mixing": op8_mixing, "op10_chat": op10_chat}
+QUERIES = {"op6_quality_rules": op6_quality_rules, "op1_sharding": op1_sharding, "op8_mixing": op8_mixing, "op10_chat": op10_chat}
 ORACLES = {"op8_mixing": OP8_SQL, "op10_chat": OP10_SQL}
