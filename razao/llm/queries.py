@@ -6,6 +6,7 @@ from razao.llm.chat import OP10_SQL, op10_chat
 from razao.llm.mixing import OP8_SQL, op8_mixing
 from razao.llm.quality_rules import op6_quality_rules
 from razao.llm.sharding import op1_sharding
+from razao.llm.substring_dedup import op4_substring_dedup
 
-QUERIES = {"op6_quality_rules": op6_quality_rules, "op1_sharding": op1_sharding, "op8_mixing": op8_mixing, "op10_chat": op10_chat}
+QUERIES = {"op4_substring_dedup": op4_substring_dedup, "op6_quality_rules": op6_quality_rules, "op1_sharding": op1_sharding, "op8_mixing": op8_mixing, "op10_chat": op10_chat}
 ORACLES = {"op8_mixing": OP8_SQL, "op10_chat": OP10_SQL}

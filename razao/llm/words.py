@@ -104,14 +104,16 @@ class Words:
 
     def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """First word and hash of every run of n words that lies in one text."""
-        return self._windows(self.hash, n)
-
-    def _windows(self, hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        m = len(hashes) - n + 1
+        m = len(self) - n + 1
         if m <= 0:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         at = np.flatnonzero(self.text[:m] == self.text[n - 1 :])
-        got, have, width, power = None, 0, 1, hashes
+        return at, self._windows_all(n)[at]
+
+    def _windows_all(self, n: int) -> np.ndarray:
+        """Hash of every run of n words, also across texts."""
+        m = len(self) - n + 1
+        got, have, width, power = None, 0, 1, self.hash
         for bit in range(n.bit_length()):  # hashes of 1, 2, 4, ... words; those that make up n are joined
             if n >> bit & 1:
                 part = power[have : have + m]
@@ -120,7 +122,7 @@ class Words:
             if have < n:
                 power = mix(power[:-width] * np.uint64(_BASE) + power[width:] * np.uint64(5))
                 width *= 2
-        return at, mix(got[at] + np.uint64(n))
+        return mix(got + np.uint64(n))
 
     def lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Text, start and end of every line (split at line feeds) that holds a word."""
@@ -165,3 +167,24 @@ def slices(batch: pa.RecordBatch | pa.Table, column: str, most: int = SLICE_BYTE
         stop = max(at + 1, int(np.searchsorted(sizes, before + most, "right")))
         yield batch.slice(at, stop - at)
         at = stop
+
+
+def normal_form(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """All words with one space after each, and the bounds of the words (space included) in it."""
+    lengths = words.end - words.start
+    bounds = np.zeros(len(words) + 1, np.int64)
+    np.cumsum(lengths + 1, out=bounds[1:])
+    out = np.full(bounds[-1], 32, np.uint8)
+    letters = words.data[words._word]
+    out[np.arange(len(letters)) + np.repeat(np.arange(len(words)), lengths)] = letters
+    return out, bounds
+
+
+def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
+    """The least of every n neighbours."""
+    width = 1
+    while width * 2 <= n:
+        x = np.minimum(x[:-width], x[width:])
+        width *= 2
+    rest = n - width
+    return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
