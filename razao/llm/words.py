@@ -67,9 +67,9 @@ def _odd_inverse(n: int) -> np.uint64:
 
 class Words:
     """The words of some texts: bytes `data`, texts' byte bounds `bounds`, words' `start`, `end`, `text`, and
-    `first`, the bounds of each text's words."""
+    `first`, the bounds of each text's words. `gap` flags the bytes between words, white space if not given."""
 
-    def __init__(self, texts: pa.Array, lower: bool = False):
+    def __init__(self, texts: pa.Array, lower: bool = False, gap: np.ndarray = _SPACE):
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         _, offsets, data = texts.buffers()
         bounds = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
@@ -79,7 +79,7 @@ class Words:
         if lower:
             self.data = _LOWER[self.data]
         n = len(self.data)
-        word = ~_SPACE[self.data]
+        word = ~gap[self.data]
         edge = np.zeros(n + 1, bool)
         edge[self.bounds] = True
         begins, ends = word.copy(), word.copy()
