@@ -6,11 +6,12 @@ from razao.llm.chat import OP10_SQL, op10_chat
 from razao.llm.decontaminate import op9_decontamination
 from razao.llm.mixing import OP8_SQL, op8_mixing
 from razao.llm.near_dup import op2_near_duplicates
+from razao.llm.pii import op7_pii
 from razao.llm.ppm import op5_ppm
 from razao.llm.quality import op3_quality
 from razao.llm.quality_rules import op6_quality_rules
 from razao.llm.sharding import op1_sharding
 from razao.llm.substring_dedup import op4_substring_dedup
 
-QUERIES = {"op2_near_duplicates": op2_near_duplicates, "op3_quality": op3_quality, "op9_decontamination": op9_decontamination, "op5_ppm": op5_ppm, "op4_substring_dedup": op4_substring_dedup, "op6_quality_rules": op6_quality_rules, "op1_sharding": op1_sharding, "op8_mixing": op8_mixing, "op10_chat": op10_chat}
+QUERIES = {"op7_pii": op7_pii, "op2_near_duplicates": op2_near_duplicates, "op3_quality": op3_quality, "op9_decontamination": op9_decontamination, "op5_ppm": op5_ppm, "op4_substring_dedup": op4_substring_dedup, "op6_quality_rules": op6_quality_rules, "op1_sharding": op1_sharding, "op8_mixing": op8_mixing, "op10_chat": op10_chat}
 ORACLES = {"op8_mixing": OP8_SQL, "op10_chat": OP10_SQL}
