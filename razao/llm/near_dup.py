@@ -300,13 +300,7 @@ def near_duplicates(
     docs: DataFrame, words: int = WORDS, percent: int = PERCENT, rows: int = ROWS, id_: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """(key, version, row without the text, n_shingles, component): `component` is the least key that is reachable."""
-    value = F.col(f"row.`{text}`")
-    keyed = packed(docs).select(
-        F.col("row").dropFields(text).alias("row") if len(docs.columns) > 1 else F.struct(F.lit(0).alias("_")).alias("row"),
-        F.coalesce(F.col(f"row.`{id_}`").cast("long"), F.lit(NO_ID) + F.pmod(F.xxhash64(value), F.lit(NO_ID))).alias("key"),
-        F.xxhash64(value).alias("version"),
-        value.alias("text"),
-    )
+    keyed = _keyed(docs, id_, text).select(F.col("row").dropFields(text).alias("row"), "key", "version", "text")
     kind = keyed.schema["row"].dataType.simpleString()
     signed = stored(
         keyed.mapInArrow(_sign(words), f"row {kind}, key long, version long, {_SIGNATURE}"), "signatures"
@@ -376,6 +370,28 @@ def near_duplicates(
     return out.select("key", "version", "row", "n_shingles", F.coalesce("component", "key").alias("component"))
 
 
+def _keyed(docs: DataFrame, id_: str, text: str) -> DataFrame:
+    """Every row with the key of its document and a version that tells texts of one key apart."""
+    value = F.col(f"row.`{text}`")
+    no_id = F.lit(NO_ID) + F.pmod(F.xxhash64(value), F.lit(NO_ID))
+    return packed(docs).select(
+        "row",
+        F.coalesce(F.col(f"row.`{id_}`").cast("long"), no_id).alias("key"),
+        F.xxhash64(value).alias("version"),
+        value.alias("text"),
+    )
+
+
+def one_of_each(
+    docs: DataFrame, words: int = WORDS, percent: int = PERCENT, rows: int = ROWS, id_: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """The input with one row of each component, the one with the least id; repeated rows are one."""
+    found = near_duplicates(docs, words, percent, rows, id_, text).filter("key = component")
+    kept = found.groupBy("key").agg(F.min("version").alias("version"))
+    both = _keyed(docs, id_, text).select("row", "key", "version").join(kept, ["key", "version"], "left_semi")
+    return both.dropDuplicates(["key", "version"]).select("row.*")
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with their component of near-duplicates."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
