@@ -15,7 +15,7 @@ of the window. So no bucket grows with a frequent phrase or a large group of cop
 Rows: null and empty texts have no words. Texts of any length are taken whole. Ids are integers; null ids
 count as one id after all others. Rows with the same id and different texts are ordered by start only, and of
 two equal windows at the same start of the same id neither goes; wholly repeated rows get the same result. An
-empty table gives an empty result. Other columns of the input pass through in the struct `row`.
+empty table gives an empty result. Columns of the input but the text pass through in the struct `row`.
 """
 
 from __future__ import annotations
@@ -206,11 +206,34 @@ def _same_bytes(raw, a_low, a_high, b_low, b_high, most: int = 1 << 21) -> np.nd
     return out
 
 
+def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text compressed, for the one shuffle that texts go through."""
+    squeeze = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        for part in slices(batch, "text"):
+            texts = [squeeze(t.encode()) if t else None for t in part["text"].to_pylist()]
+            columns = {name: part[name] for name in part.schema.names if name != "text"}
+            yield pa.RecordBatch.from_pydict(columns | {"text": pa.array(texts, pa.binary())})
+
+
+def _expanded(batch: pa.RecordBatch, expand) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Parts of a batch with at most about SLICE bytes of text, and their texts."""
+    sizes = [zstandard.frame_content_size(t) if t else 0 for t in batch["text"].to_pylist()]
+    low = total = 0
+    for i, size in enumerate([*sizes, 0]):
+        if i > low and (i == len(sizes) or total + size > SLICE):
+            part = batch.slice(low, i - low)
+            yield part, pa.array([expand(t) if t else b"" for t in part["text"].to_pylist()], pa.large_binary()).cast(pa.large_string())
+            low, total = i, 0
+        total += size
+
+
 def _remove(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        expand = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for part in slices(batch, "text"):
-                words = Words(part["text"])
+            for part, text_of in _expanded(batch, expand):
+                words = Words(text_of)
                 lists = part["runs"]
                 text = np.repeat(np.arange(part.num_rows), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
                 runs = lists.flatten()
@@ -249,20 +272,21 @@ def repeated_runs(texts: DataFrame, k: int = WINDOW, m: int = MINIMISER) -> Data
 
 
 def remove_repeats(docs: DataFrame, k: int = WINDOW, m: int = MINIMISER, id_: str = "doc_id", text: str = "text") -> DataFrame:
-    """The struct `row`, `n_words`, `n_removed` and `kept_text` (the words left, one space between) of every row."""
+    """`row` (the input without the text), `n_words`, `n_removed` and `kept_text` (the words left, one space between)."""
     rows = packed(docs).select(
         F.coalesce(F.col(f"row.`{id_}`").cast("long"), F.lit(int(_LAST_ID))).alias("id"),
         F.xxhash64(F.col(f"row.`{text}`")).alias("version"),
         F.col(f"row.`{text}`").alias("text"),
-        "row",
+        F.col("row").dropFields(text).alias("row"),
     )
     runs = repeated_runs(rows.select("id", "version", "text"), k, m)
     of_text = runs.groupBy("id", "version").agg(F.collect_list(F.struct("start", "length")).alias("runs"))
-    both = rows.join(of_text, ["id", "version"], "left").select(
+    kind = rows.schema["row"].dataType.simpleString()
+    texts = rows.mapInArrow(_squeeze, f"id long, version long, row {kind}, text binary")
+    both = texts.join(of_text, ["id", "version"], "left").select(
         "row", "text", F.coalesce("runs", F.array().cast("array<struct<start:int,length:int>>")).alias("runs")
     )
-    schema = f"row {rows.schema['row'].dataType.simpleString()}, n_words long, n_removed long, kept_text string"
-    return both.mapInArrow(_remove(k), schema)
+    return both.mapInArrow(_remove(k), f"row {kind}, n_words long, n_removed long, kept_text string")
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
