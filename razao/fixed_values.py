@@ -66,7 +66,6 @@ INTER_BANK_NAME = "Inter"
 NUBANK_DETECT_MARK = "identificador"
 NUBANK_COLUMNS = ("data", "valor", "identificador", "descricao")
 NUBANK_BANK_NAME = "Nubank"
-DETECT_SAMPLE_CHARS = 2000
 SOURCE_LABELS = {"inter": "Inter", "nubank": "Nubank", "generic": "Genérico"}
 STATEMENT_DATE_FORMAT = "dd/MM/yyyy"
 
@@ -87,4 +86,3 @@ FNV_PRIME = 16777619
 
 DAY_MILLIS = 86400000
 PAGE_SIZE = 200
-PREVIEW_ROWS = 5
