@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from razao.operators.ranking import dense_rank_desc
-from razao.operators.skew import join_lookup
+from razao.session import materialize
 
 
 def _units(direction: str):
@@ -58,18 +58,23 @@ def counterparty_ranking(ledger: DataFrame, **limits) -> DataFrame:
 def spending_clusters(ledger: DataFrame) -> DataFrame:
     """Transactions grouped by the stable part of their description."""
     units = F.col("amount_in_units")
-    return (
-        ledger.filter(F.col("description_normalized") != "")
-        .groupBy("description_normalized")
+    clustered = ledger.filter(F.col("description_normalized") != "")
+    totals = (
+        clustered.groupBy("description_normalized")
         .agg(
             F.count(F.lit(1)).alias("transactions"),
             F.sum(units).alias("units"),
             F.min("date").alias("first_day"),
             F.max("date").alias("last_day"),
-            F.min("description").alias("sample"),
         )
         .withColumn("mean_units", F.col("units") / F.col("transactions"))
     )
+    # The sample in an aggregate of its own: a string buffer would turn the sums into a sort aggregate.
+    texts = clustered.select("description_normalized", "description").distinct()
+    sample = texts.groupBy("description_normalized").agg(F.min("description").alias("sample"))
+    return totals.join(sample, "description_normalized").select(
+        "description_normalized", "transactions", "units", "first_day", "last_day", "sample", "mean_units"
+    )
 
 
 def recurring_patterns(ledger: DataFrame, min_days: int = 3) -> DataFrame:
@@ -118,5 +123,5 @@ def suspected_duplicates(ledger: DataFrame) -> DataFrame:
 
 def suspected_rows(ledger: DataFrame) -> DataFrame:
     """The transactions behind `suspected_duplicates`."""
-    keys = suspected_duplicates(ledger).select("possible_duplicate_key")
-    return join_lookup(ledger, keys, ["possible_duplicate_key"], "left_semi", spread=["id"])
+    keys = materialize(suspected_duplicates(ledger).select("possible_duplicate_key"), "suspected")
+    return ledger.join(keys, ["possible_duplicate_key"], "left_semi")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from razao.operators.normalize import ROW_ERRORS
-from razao.operators.skew import is_small, join_lookup
+from razao.session import materialize
 
 
 def first_per_key(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -21,24 +21,43 @@ def first_per_key(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 
 def stored_keys(keys: DataFrame, stored: DataFrame, key: str) -> DataFrame:
-    """Those of `keys` that occur in `stored`, without shuffling the stored table if the
-    batch is small: its keys are broadcast to the scan."""
-    stored = stored.select(key)
-    if is_small(keys):
-        hits = stored.join(F.broadcast(keys.select(key)), key, "left_semi")
-    else:
-        hits = stored.join(keys.select(key), key, "left_semi")
-    return hits.distinct()
+    """Those of `keys` (distinct) that occur in `stored`.
+
+    The keys are written first, so Spark knows their bytes: a small batch is broadcast to the
+    scan of the stored table, which is then not shuffled; a large one takes a shuffle join.
+    """
+    keys = materialize(keys.select(key), "keys")
+    return stored.select(key).join(keys, key, "left_semi").distinct()
 
 
 def new_rows(
     rows: DataFrame, stored: DataFrame | None, key: str = "id", order: list[str] | None = None
 ) -> DataFrame:
     """Rows to accept: the first of each key in the batch whose key is not stored yet."""
-    first = first_per_key(rows, key, order or ["file_path", "record_index"])
+    return split_rows(rows, stored, key, order)[0]
+
+
+def split_rows(
+    rows: DataFrame, stored: DataFrame | None, key: str = "id", order: list[str] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Accepted rows and blocked rows: copies inside the batch, and rows stored before.
+
+    Keys are counted by a hash aggregate of narrow rows. Only rows of keys with copies go
+    through the aggregate that picks the first one; all others are not shuffled as long as
+    the keys with copies are few. `rows` is read several times: pass a written table.
+    """
+    order = order or ["file_path", "record_index"]
+    counts = materialize(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_copies")), "key-counts")
+    copied = materialize(counts.filter("_copies > 1").select(key), "copied-keys")
+    again = rows.join(copied, key, "left_semi")
+    first = first_per_key(again, key, order)
+    accepted = rows.join(copied, key, "left_anti").unionByName(first)
+    later = again.join(first.select(key, *order).withColumn("_first", F.lit(True)), [key, *order], "left_anti")
     if stored is None:
-        return first
-    return first.join(stored_keys(rows.select(key), stored, key), key, "left_anti")
+        return accepted, later.select(*rows.columns)
+    known = materialize(stored_keys(counts, stored, key), "known-keys")
+    blocked = later.select(*rows.columns).unionByName(accepted.join(known, key, "left_semi").select(*rows.columns))
+    return accepted.join(known, key, "left_anti"), blocked
 
 
 def file_summary(rows: DataFrame) -> DataFrame:
@@ -75,11 +94,7 @@ def new_files(files: DataFrame, stored_hashes: DataFrame | None) -> DataFrame:
     return files.join(kept, "file_path", "left").fillna(True, ["repeated"])
 
 
-def without_bad_files(
-    rows: DataFrame, file_key: str = "file_id", spread: list[str] | None = None
-) -> DataFrame:
+def without_bad_files(rows: DataFrame, file_key: str = "file_id") -> DataFrame:
     """Rows of the files that have no row with an error."""
-    bad = rows.filter(F.col("error").isNotNull()).select(file_key).distinct()
-    return join_lookup(
-        rows, bad, [file_key], "left_anti", spread=spread or ["source_row_id"]
-    )
+    bad = materialize(rows.filter(F.col("error").isNotNull()).select(file_key).distinct(), "bad-files")
+    return rows.join(bad, [file_key], "left_anti")

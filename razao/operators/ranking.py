@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from razao.operators.skew import is_small, join_lookup
 from razao.session import materialize
 
 ONE_TASK_ROWS = 100_000
@@ -21,7 +20,7 @@ def dense_rank_desc(
     of values in the ranges above.
     """
     df = materialize(df, "rank-input")
-    if is_small(df, one_task_rows):
+    if df.count() <= one_task_rows:  # of a written table: read from its footers
         return df.withColumn(alias, F.dense_rank().over(Window.orderBy(F.col(column).desc())))
     value = F.col(column)
     ranges = materialize(
@@ -38,8 +37,7 @@ def dense_rank_desc(
     inside = Window.partitionBy("_range").orderBy(value.desc())
     ranks = (
         ranges.withColumn("_inside", F.row_number().over(inside))
-        .join(F.broadcast(offsets), "_range")
+        .join(offsets, "_range")
         .select(column, (F.col("_above") + F.col("_inside")).cast("int").alias(alias))
     )
-    others = [c for c in df.columns if c != column]
-    return join_lookup(df, ranks, [column], "inner", spread=others)
+    return df.join(ranks, [column], "inner")

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from razao.fixed_values import PAGE_SIZE, PRECISION, SOURCE_LABELS
 from razao.functions import money
-from razao.operators.skew import is_small
 
 SORT_KEYS = {"date": "data", "value": "amount_in_units"}
 
@@ -104,6 +103,12 @@ def page_count(view: DataFrame, size: int = PAGE_SIZE) -> DataFrame:
     return view.agg(pages.cast("bigint").alias("pages"))
 
 
+def totals_with_pages(view: DataFrame, size: int = PAGE_SIZE) -> DataFrame:
+    """The totals of a view and its number of pages, in one pass."""
+    pages = F.greatest(F.lit(1), F.ceil(F.col("transactions") / F.lit(size)))
+    return totals(view).withColumn("pages", pages.cast("bigint"))
+
+
 def totals(view: DataFrame) -> DataFrame:
     """Count, volume, money in and money out of a view, summed as integers."""
     units, zero = F.col("amount_in_units"), F.lit(0).cast("bigint")
@@ -151,6 +156,6 @@ def currency_totals(ledger: DataFrame) -> DataFrame:
 def single_total(ledger: DataFrame) -> DataFrame:
     """The one total of a ledger; refuses to add different currencies or precisions."""
     per_currency = currency_totals(ledger)
-    if not is_small(per_currency, 1):
+    if len(per_currency.limit(2).collect()) > 1:
         raise ValueError("amounts of different currencies or precisions cannot be added")
     return per_currency

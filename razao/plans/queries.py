@@ -13,7 +13,6 @@ from razao.operators import analytics, views
 from razao.operators.dedup import file_summary, new_files, new_rows, without_bad_files
 from razao.operators.normalize import normalize
 from razao.operators.occurrence import with_occurrence_ids
-from razao.operators.skew import join_lookup
 from razao.plans import sample_ledgers as sample
 from razao.plans.importer import import_batch, import_staged
 from razao.plans.sample_ledgers import events_ledger, orders_ledger, table, wide_table
@@ -68,7 +67,7 @@ def filtered_totals(spark, sf_dir):
     view = views.filter_view(
         views.transaction_view(orders_ledger(spark, sf_dir)), kind="entrada", search="customer#0000"
     )
-    return views.totals(view).crossJoin(views.page_count(view))
+    return views.totals_with_pages(view)
 
 
 def _shown(view: DataFrame) -> DataFrame:
@@ -126,7 +125,7 @@ def currency_totals(spark, sf_dir):
     )
     ledger = orders_ledger(spark, sf_dir).drop("currency")
     return views.currency_totals(
-        join_lookup(ledger, nations, ["file_id"], "inner", spread=["source_row_id"])
+        ledger.join(nations, ["file_id"], "inner")
     )
 
 
@@ -557,7 +556,7 @@ def cascade_delete(spark, sf_dir):
     ).select(col("n_nationkey").cast("string").alias("name"))
     store.delete_files(store.files().join(nations, "name", "left_semi").select("id"))
     names = store.files().select(col("id").alias("file_id"), col("name").alias("nation"))
-    ledger = join_lookup(store.ledger(), names, ["file_id"], "inner", spread=["id"])
+    ledger = store.ledger().join(names, ["file_id"], "inner")
     return ledger.groupBy("nation").agg(
         F.count(F.lit(1)).alias("transactions"), F.sum("amount_in_units").alias("units")
     )

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from razao.functions.text import counterparty_name
 from razao.operators.normalize import normalize
 from razao.schema import STAGING
-from razao.session import spread
 
 ISO_MILLIS = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 
@@ -18,11 +17,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def wide_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table whose rows cost much work each, on all cores even if it is a single file.
-
-    Large tables have more splits than the cluster has cores and are left as they are.
-    """
-    return spread(table(spark, sf_dir, name))
+    """A table whose rows cost much work each; how it is split is the session's
+    `spark.sql.files.maxPartitionBytes`."""
+    return table(spark, sf_dir, name)
 
 
 def brazilian(amount: Column) -> Column:

@@ -20,6 +20,7 @@ def local_session(cores: str = "*", app: str = "razao", shuffle_partitions: int
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.files.maxPartitionBytes", "4m")  # small tables, all cores
         .config("spark.driver.memory", os.environ.get("RAZAO_DRIVER_MEMORY", "8g"))
         .config("spark.driver.bindAddress", "127.0.0.1")
         .config("spark.driver.host", "127.0.0.1")
@@ -29,12 +30,6 @@ def local_session(cores: str = "*", app: str = "razao", shuffle_partitions: int
     return session
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows of a scan with fewer splits than there are cores, dealt out to all cores."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 @lru_cache(maxsize=1)
 def _local_scratch() -> str:
     return tempfile.mkdtemp(prefix="razao-")

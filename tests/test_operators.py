@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from razao.functions import csv, money
-from razao.operators import analytics, dedup, skew, views
+from razao.operators import analytics, dedup, views
 from razao.operators.normalize import normalize
 from razao.operators.occurrence import with_occurrence_ids
 from razao.operators.ranking import dense_rank_desc
@@ -140,16 +140,6 @@ def test_rank_by_ranges_equals_rank_in_one_task(spark):
     assert sorted(one.collect()) == sorted(many.collect())
 
 
-@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_salted_join_equals_broadcast_join(spark, how):
-    big = spark.range(3000).selectExpr("id", "if(id % 3 = 0, 0, id % 50) as k")
-    small = spark.range(25).selectExpr("id as k", "id * 2 as v")
-    broadcast = skew.join_lookup(big, small, ["k"], how, spread=["id"])
-    salted = skew.join_lookup(big, small, ["k"], how, spread=["id"], max_rows=3)
-    assert "BroadcastHashJoin" in plan(broadcast)
-    assert sorted(broadcast.collect()) == sorted(salted.select(*broadcast.columns).collect())
-
-
 def test_first_of_a_hot_key(spark):
     rows = spark.range(6000).selectExpr(
         "if(id % 3 = 0, 'hot', cast(id % 700 as string)) as id",
@@ -164,6 +154,15 @@ def test_first_of_a_hot_key(spark):
     fresh = dedup.new_rows(rows, stored)
     assert {r.id for r in fresh.collect()} == set(first) - {"hot", "5"}
     assert "partial_min_by" in plan(kept) and "Window" not in plan(kept)
+    accepted, blocked = dedup.split_rows(rows, stored)
+    both = sorted(r.record_index for r in accepted.unionByName(blocked).collect())
+    assert both == list(range(6000)) and accepted.count() == len(set(first) - {"hot", "5"})
+
+
+def test_rows_without_copies_are_not_aggregated(spark):
+    rows = spark.range(500).selectExpr("cast(id as string) as id", "'f' as file_path", "id as record_index", "'wide' as text")
+    shown = plan(dedup.new_rows(rows, None))
+    assert "BroadcastHashJoin" in shown and "SortMergeJoin" not in shown
 
 
 def test_stored_table_is_not_shuffled_for_a_small_batch(spark):
