@@ -12,7 +12,7 @@ from razao.operators.normalize import normalize
 from razao.plans import sample_ledgers as sample
 from razao.plans.importer import import_staged
 from razao.plans.queries import QUERIES
-from razao.session import local_session, scratch_root
+from razao.session import local_session, materialize, scratch_root
 from razao.sources.store import LedgerStore
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -29,7 +29,7 @@ HEADLINE = (
 def normalize_lineitem(spark, sf_dir):
     """Normalize and de-duplicate every line item."""
     rows = normalize(sample.lineitem_staging(spark, sf_dir))
-    return new_rows(rows.filter("error IS NULL"), None)
+    return new_rows(materialize(rows.filter("error IS NULL"), "lineitem"), None)
 
 
 def import_lineitem(spark, sf_dir):

@@ -228,6 +228,14 @@ n AS (SELECT event_type, count(*) AS c, sum(units) AS u FROM r
 SELECT r.event_type AS file_id, 2 * count(*) AS total_count,
   coalesce(any_value(n.c), 0) AS new_count, CAST(coalesce(any_value(n.u), 0) AS BIGINT) AS new_units,
   2 * count(*) - coalesce(any_value(n.c), 0) AS duplicate_count
+FROM r LEFT JOIN n ON n.event_type = r.event_type GROUP BY 1""",
+    "blocked_rows": V + f"""
+, r AS (SELECT event_type, units, sha256({IDENTITY}) AS id FROM v),
+s AS (SELECT id FROM r WHERE event_type IN ('purchase', 'error')),
+n AS (SELECT event_type, count(*) AS c, sum(units) AS u FROM r
+      WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.id = r.id) GROUP BY 1)
+SELECT r.event_type AS file_id, 2 * count(*) - coalesce(any_value(n.c), 0) AS blocked_count,
+  CAST(2 * sum(r.units) - coalesce(any_value(n.u), 0) AS BIGINT) AS blocked_units
 FROM r LEFT JOIN n ON n.event_type = r.event_type GROUP BY 1""",
     "file_hash_guard": """
 WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS file_path, lang,
@@ -284,6 +292,10 @@ FROM g WHERE k <> '' GROUP BY 1, 2 HAVING count(*) >= 3""",
     "import_statements": IMPORTED_MONTHLY,
     "import_large_files": IMPORTED_MONTHLY,
     "import_stream": IMPORTED_MONTHLY,
+    "import_across_sizes": IMPORTED + """
+SELECT source, status, count(*) AS offered,
+  CAST(sum(CASE status WHEN 'ok' THEN 1 ELSE 0 END) AS BIGINT) AS accepted, CAST(0 AS BIGINT) AS duplicates
+FROM i, (VALUES ('ok'), ('err')) AS s(status) GROUP BY 1, 2""",
     "import_again": IMPORTED + """
 SELECT source, 2 * count(*) AS offered, count(*) AS accepted, CAST(0 AS BIGINT) AS duplicates
 FROM i GROUP BY 1""",

@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 
 from razao.functions import csv, dates, identity, money, text
 from razao.operators import analytics, views
-from razao.operators.dedup import file_summary, new_files, new_rows, without_bad_files
+from razao.operators.dedup import file_summary, new_files, new_rows, split_rows, without_bad_files
 from razao.operators.normalize import normalize
 from razao.operators.occurrence import with_occurrence_ids
 from razao.plans import sample_ledgers as sample
 from razao.plans.importer import import_batch, import_staged
 from razao.plans.sample_ledgers import events_ledger, orders_ledger, table, wide_table
 from razao.schema import ImportTemplate
-from razao.session import scratch_root
+from razao.session import materialize, scratch_root
 from razao.sources import files as source_files
 from razao.sources import statements
 from razao.sources.store import LedgerStore
@@ -44,7 +44,7 @@ def monthly_totals(spark, sf_dir):
     """Flagship: staged rows, normalized, de-duplicated, summed per month."""
     rows = normalize(sample.orders_staging(spark, sf_dir)).filter(col("error").isNull())
     rows = rows.select("id", "file_path", "record_index", "date", "amount_in_units", "direction")
-    kept = new_rows(rows, None).withColumn("month", F.trunc("date", "month"))
+    kept = new_rows(materialize(rows, "ledger"), None).withColumn("month", F.trunc("date", "month"))
     units = col("amount_in_units")
     return kept.groupBy("month").agg(
         F.count(F.lit(1)).alias("transactions"),
@@ -382,7 +382,7 @@ def dedup_reimport(spark, sf_dir):
         "id", "file_id", "file_path", "record_index", "amount_in_units"
     )
     stored = rows.filter(col("file_id").isin("purchase", "error")).select("id")
-    batch = rows.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
+    batch = materialize(rows.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))), "batch")
     accepted = new_rows(batch, stored, order=["file_path", "record_index", "copy"])
     totals = batch.groupBy("file_id").agg(F.count(F.lit(1)).alias("total_count"))
     new = accepted.groupBy("file_id").agg(
@@ -520,6 +520,33 @@ def import_again(spark, sf_dir):
     )
 
 
+def blocked_rows(spark, sf_dir):
+    """The rows that `dedup_reimport` skips: stored before, or copies inside the batch."""
+    rows = events_ledger(spark, sf_dir).select(
+        "id", "file_id", "file_path", "record_index", "amount_in_units"
+    )
+    stored = rows.filter(col("file_id").isin("purchase", "error")).select("id")
+    batch = materialize(rows.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))), "batch")
+    blocked = split_rows(batch, stored, order=["file_path", "record_index", "copy"])[1]
+    return blocked.groupBy("file_id").agg(
+        F.count(F.lit(1)).alias("blocked_count"), F.sum("amount_in_units").alias("blocked_units")
+    )
+
+
+def import_across_sizes(spark, sf_dir):
+    """The same files read whole, then line by line: the second import refuses them by hash."""
+    store = _imported(spark, sf_dir)
+    inbox = f"{store.root}-inbox"
+    again = import_batch(
+        spark, store, [f"{inbox}/inter", f"{inbox}/nubank"], batch_id="lines", whole_file_bytes=0
+    )
+    first = store.report("first")
+    return first.unionByName(again).groupBy("source", "status").agg(
+        F.sum("total_count").alias("offered"), F.sum("new_count").alias("accepted"),
+        F.sum("duplicate_count").alias("duplicates"),
+    )
+
+
 def import_large_files(spark, sf_dir):
     """The statement files read line by line, as files beyond the whole-file bound are."""
     store = _new_store(spark)
@@ -533,13 +560,13 @@ def import_large_files(spark, sf_dir):
 
 
 def import_stream(spark, sf_dir):
-    """The statement files imported as a stream of arrivals, thirty files at a time."""
+    """The statement files imported as a stream of arrivals, three files at a time."""
     store = _new_store(spark)
     inbox = f"{store.root}-inbox"
     sample.write_inter_statements(spark, sf_dir, f"{inbox}/inter", ROWS_PER_FILE)
     sample.write_nubank_statements(spark, sf_dir, f"{inbox}/nubank", ROWS_PER_FILE)
     stream = follow_folder(
-        spark, store, inbox, f"{store.root}-checkpoint", files_per_trigger=30, once=True
+        spark, store, inbox, f"{store.root}-checkpoint", files_per_trigger=3, once=True
     )
     stream.awaitTermination()
     return _monthly(store.ledger())
@@ -584,7 +611,7 @@ QUERIES: dict[str, Query] = {
         detect_dialect, file_preview, encoding_fallback, dedup_reimport, file_hash_guard,
         reject_file_on_error, row_errors, occurrence_identity, suspected_duplicates, suspected_rows, monthly_rollup,
         counterparty_ranking, counterparty_ranking_by_ranges, spending_clusters,
-        recurring_patterns, import_statements, import_again, import_large_files, import_stream, cascade_delete,
+        recurring_patterns, import_statements, import_again, import_across_sizes, blocked_rows, import_large_files, import_stream, cascade_delete,
         export_roundtrip,
     )
 }
