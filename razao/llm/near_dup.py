@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from razao.llm.common import packed, stored, table
@@ -37,6 +37,7 @@ from razao.llm.words import Words, mix, slices
 REGISTERS, ROWS, MANTISSA = 160, 5, 10
 WORDS, PERCENT = 3, 85
 TILE_BYTES, TILE_MEMBERS, TASK_BYTES, LEAST_TASKS, SPARE = 1 << 20, 2000, 1 << 20, 512, 5.0
+FILTER_BITS = 1 << 26
 NO_ID = 1 << 62
 _U = np.uint64
 
@@ -296,6 +297,27 @@ def _similar(key: np.ndarray, at: np.ndarray, side: np.ndarray, percent: int) ->
             yield i, x
 
 
+def _may_be_in(candidates: DataFrame) -> Column:
+    """A filter on (key, version) that all candidates pass and few other rows do.
+
+    A bitmap of hashes, built by tasks in pieces of 4 KB and no larger than FILTER_BITS: texts of
+    other documents are not shuffled. Beyond what the bitmap can tell apart more of them pass.
+    """
+    wanted = 64 * max(1, candidates.count())
+    bits = min(FILTER_BITS, max(1 << 15, 1 << (wanted - 1).bit_length()))
+    place = lambda *c: F.pmod(F.xxhash64(*c), F.lit(bits))
+    value = place("node", "version") + 1
+    pieces = candidates.groupBy(F.bitmap_bucket_number(value).alias("piece")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(value)).alias("bits")
+    )
+    whole = bytearray(bits // 8)
+    for piece, of in pieces.collect():  # at most FILTER_BITS in all
+        whole[(piece - 1) * 4096 : piece * 4096] = of
+    at = place("key", "version")
+    byte = F.substring(F.lit(bytes(whole)), (at / 8).cast("int") + 1, F.lit(1))
+    return F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), F.pmod(at, F.lit(8)).cast("int")) == 1
+
+
 def near_duplicates(
     docs: DataFrame, words: int = WORDS, percent: int = PERCENT, rows: int = ROWS, id_: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -348,7 +370,8 @@ def near_duplicates(
     tiled = _tiles(candidates.join(sizes, "cluster"), "cluster", "bytes", TILE_BYTES).select(
         F.col("node").alias("key"), "version", "side", F.xxhash64("tile").alias("tile_id")
     )
-    texts = keyed.select("key", "version", "text").join(tiled, ["key", "version"]).select(
+    wanted = keyed.select("key", "version", "text").filter(_may_be_in(candidates))
+    texts = wanted.join(tiled, ["key", "version"]).select(
         F.col("key").alias("node"), "text", "side", "tile_id"
     )
     total = candidates.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)) * 8).first()[0]
