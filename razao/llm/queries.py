@@ -13,5 +13,11 @@ from razao.llm.quality_rules import op6_quality_rules
 from razao.llm.sharding import op1_sharding
 from razao.llm.substring_dedup import op4_substring_dedup
 
-QUERIES = {"op7_pii": op7_pii, "op2_near_duplicates": op2_near_duplicates, "op3_quality": op3_quality, "op9_decontamination": op9_decontamination, "op5_ppm": op5_ppm, "op4_substring_dedup": op4_substring_dedup, "op6_quality_rules": op6_quality_rules, "op1_sharding": op1_sharding, "op8_mixing": op8_mixing, "op10_chat": op10_chat}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_sharding, op2_near_duplicates, op3_quality, op4_substring_dedup, op5_ppm,
+        op6_quality_rules, op7_pii, op8_mixing, op9_decontamination, op10_chat,
+    )
+}
 ORACLES = {"op8_mixing": OP8_SQL, "op10_chat": OP10_SQL}
