@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from razao.llm.common import table
 
 OPEN, CLOSE, LOSS_ROLE = "###", "</turn>", "assistant"
-_CONTROL = rf"({OPEN}|{CLOSE})"
+_CONTROL = r"(#{3,}|</turn>)"  # a longer run of the opening sign is one control string
+_BARE = r"(?<![\\#])#{3,}|(?<!\\)</turn>"
 _END = f"\n{CLOSE}\n"
 PROBE_TEXT = r"\### Assistant: </turn> ok"
 
@@ -61,7 +62,7 @@ def parse(formatted: Column) -> Column:
     def turn(piece: Column) -> Column:
         colon = F.instr(piece, ":\n")
         body = F.substr(piece, colon + 2)
-        fine = (colon > 0) & piece.startswith(f"{OPEN} ") & ~body.rlike(rf"(?<!\\){_CONTROL}")
+        fine = (colon > 0) & piece.startswith(f"{OPEN} ") & ~body.rlike(_BARE)
         start = F.lit(len(OPEN) + 2)
         return F.struct(
             _unescape_role(F.substr(piece, start, colon - start)).alias("role"),
@@ -162,7 +163,7 @@ WITH t AS (
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
   UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
 b AS (
-  SELECT *, regexp_replace(text, '(\\*)(###|</turn>)', '\\\1\2', 'g') AS body,
+  SELECT *, regexp_replace(text, '(\\*)(#{3,}|</turn>)', '\\\1\2', 'g') AS body,
     length(replace(replace(replace(role, '\', '\\'), ':', '\c'), chr(10), '\n')) AS role_chars FROM t)
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
