@@ -124,7 +124,8 @@ def shard_rows(
     )
     nodes = rows.select("uid", "size", "link")
     hubs = nodes.filter("link IS NOT NULL").groupBy("link").agg(F.min("uid").alias("hub"), F.count("*").alias("n"))
-    linked = stored(nodes.join(hubs.filter("n > 1"), "link").select("uid", "size", "hub"), "linked")
+    hubs = stored(hubs.filter("n > 1").select("link", "hub"), "hubs")  # so that a hot link's join can be split
+    linked = stored(nodes.join(hubs, "link").select("uid", "size", "hub"), "linked")
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     even = total / shards
     labels = propagate(
