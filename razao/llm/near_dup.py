@@ -10,8 +10,9 @@ Links are found in three steps that never emit all pairs of a group:
    estimate (with five standard errors to spare); what may be similar is joined into tentative clusters.
 2. Band groups that still span several clusters are compared inside, by registers only; clusters that may be
    linked are merged. Large groups are cut into tiles, each pair of blocks in a task of its own.
-3. The full sets of each tentative cluster (cut into tiles when large) are compared exactly, and a spanning
-   forest of the confirmed links is kept. Components of these links are the result.
+3. The full sets of each tentative cluster are compared exactly, and a spanning forest of the confirmed links is
+   kept; components of these links are the result. A cluster beyond one tile is first confirmed along the links of
+   steps 1 and 2; members that this does not link with its largest part are then compared, in tiles, with all others.
 So every pair that shares a band and passes the estimate is compared exactly, or lies in one component already.
 
 Rows: null texts and texts without words have an empty set and are linked with nothing. Texts are taken whole;
@@ -27,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,7 +111,7 @@ def may_be_similar(a, b, n_a, n_b, percent: int) -> np.ndarray:
     return (100 * small >= percent * large) & (estimate(a, b, n_a, n_b) >= s - spare)
 
 
-_SIGNATURE = "n_shingles long, set_a long, set_b long, registers binary"
+_SIGNATURE = "n_shingles long, n_bytes long, set_a long, set_b long, registers binary"
 
 
 def _sign(words: int):
@@ -131,6 +133,7 @@ def _sign(words: int):
                         "key": part["key"],
                         "version": part["version"],
                         "n_shingles": pa.array(count.astype(np.int64)),
+                        "n_bytes": pc.binary_length(part["text"]).cast(pa.int64()),
                         "set_a": pa.array(sums[0]),
                         "set_b": pa.array(sums[1]),
                         "registers": pa.array([r.tobytes() if c else None for r, c in zip(signs, count)], pa.binary()),
@@ -256,9 +259,10 @@ def _confirm(words: int, percent: int):
             tile = rows.slice(low, high - low)
             key, _, at = sets(tile["text"].combine_chunks(), words)
             node, side = tile["node"].to_numpy(), tile["side"].to_numpy()
-            forest = _Forest(high - low)
+            parts, part = np.unique(tile["part"].to_numpy(), return_inverse=True)
+            forest = _Forest(len(parts))
             for i, j in _similar(key, at, side, percent):
-                if node[i] != node[j] and forest.join(i, j):
+                if forest.join(int(part[i]), int(part[j])):
                     edges.append((node[i], node[j]))
         return _edges(edges)
 
@@ -280,7 +284,8 @@ def _similar(key: np.ndarray, at: np.ndarray, side: np.ndarray, percent: int) ->
     often = np.bincount(column, minlength=len(distinct)) > 1  # others are in no intersection
     new = np.cumsum(often) - 1
     member, column = member[often[column]], new[column[often[column]]]
-    shared = np.zeros((len(size), len(size)), np.float32)  # counts below 2 ** 24 are exact
+    left, right = np.flatnonzero(side < 2), np.flatnonzero(side != 1)  # the same rows in a tile of one block
+    shared = np.zeros((len(left), len(right)), np.float32)  # counts below 2 ** 24 are exact
     order = np.argsort(column, kind="stable")
     member, column = member[order], column[order]
     step = max(256, (1 << 22) // len(size))
@@ -288,12 +293,12 @@ def _similar(key: np.ndarray, at: np.ndarray, side: np.ndarray, percent: int) ->
         a, b = np.searchsorted(column, [low, low + step])
         block = np.zeros((len(size), step), np.float32)
         block[member[a:b], column[a:b] - low] = 1
-        shared += block @ block.T
-    union = size[:, None] + size[None, :] - shared
+        shared += block[left] @ block[right].T
+    union = size[left][:, None] + size[right][None, :] - shared
     linked = (100 * shared >= percent * union) & (union > 0)
-    for i in range(len(size) - 1):
-        j = _pairs_to_compare(side, i)
-        for x in j[linked[i, j]].tolist():
+    for i, of in zip(left.tolist(), linked):
+        j = right[of]
+        for x in (j[j > i] if side[i] == 0 else j).tolist():
             yield i, x
 
 
@@ -318,6 +323,81 @@ def _may_be_in(candidates: DataFrame) -> Column:
     return F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), F.pmod(at, F.lit(8)).cast("int")) == 1
 
 
+def _blocks(bytes_: str, members: str) -> Column:
+    """Number of blocks of a group: about TILE_BYTES and TILE_MEMBERS each at most."""
+    return F.greatest(F.lit(1), F.ceil(F.col(bytes_) / TILE_BYTES), F.ceil(F.col(members) / TILE_MEMBERS))
+
+
+def _stars(links: DataFrame, rows: DataFrame) -> DataFrame:
+    """Place each link's `b` in a block of the star around `a`; `a` meets every block, blocks do not meet."""
+    ends = links.join(rows.withColumnRenamed("node", "b"), "b").withColumnRenamed("b", "node")
+    sizes = ends.groupBy("a").agg(F.sum("bytes").alias("_bytes"), F.count("*").alias("_members"))
+    sizes = sizes.select("a", _blocks("_bytes", "_members").alias("_blocks"))
+    ends = ends.join(sizes, "a").withColumn("block", F.pmod(F.xxhash64("node"), F.col("_blocks")) + 1)
+    heads = sizes.withColumn("node", F.col("a")).join(rows, "node").withColumn("block", F.lit(0).cast("long"))
+    return _placed(ends, "a", 0, 0).unionByName(_placed(heads, "a", 1, "_blocks"))
+
+
+def _open_tiles(rows: DataFrame) -> DataFrame:
+    """Place the rows of clusters that still have several parts: all rows outside the largest part meet all rows."""
+    parts = rows.groupBy("cluster", "part").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("members"))
+    spans = parts.groupBy("cluster").agg(
+        F.max(F.struct("bytes", "members", "part")).alias("main"),
+        F.sum("bytes").alias("_bytes"),
+        F.sum("members").alias("_members"),
+        F.count("*").alias("_parts"),
+    )  # two members have one link, which was compared
+    spans = spans.filter("_parts > 1 and _members > 2").select(
+        "cluster", F.col("main.part").alias("_main"), F.col("main.bytes").alias("_of_main"),
+        F.col("main.members").alias("_in_main"), (F.col("_bytes") - F.col("main.bytes")).alias("_open"),
+        (F.col("_members") - F.col("main.members")).alias("_in_open"),
+    ).select(
+        "cluster", "_main", _blocks("_of_main", "_in_main").alias("_m"), _blocks("_open", "_in_open").alias("_o")
+    )
+    here, at = rows.join(spans, "cluster"), F.xxhash64("node")
+    main, m, o = F.col("part") == F.col("_main"), F.col("_m"), F.col("_o")
+    here = here.withColumn("block", F.when(main, o + F.pmod(at, m)).otherwise(F.pmod(at, o)))
+    return _placed(here.withColumn("_last", F.when(main, o - 1).otherwise(o + m - 1)), "cluster", 0, "_last")
+
+
+def _placed(rows: DataFrame, group: str, first: int, last: int | str) -> DataFrame:
+    """Rows with their `block` in a group and the first and last block of it that they are to meet."""
+    last = F.col(last) if isinstance(last, str) else F.lit(last)
+    return rows.select(
+        "node", "version", "part", "bytes", F.col(group).alias("group"), F.col("block").cast("long").alias("block"),
+        F.lit(first).cast("long").alias("first"), last.cast("long").alias("last"),
+    )
+
+
+def _confirmed(keyed: DataFrame, placed: DataFrame, words: int, percent: int) -> DataFrame:
+    """The exact links between blocks that meet. A task holds about TASK_BYTES of what is sent, copies included."""
+    placed = stored(placed, "placed-texts")
+    sent = placed.agg(F.coalesce(F.sum(F.col("bytes") * (F.col("last") - F.col("first") + 1)), F.lit(0))).first()[0]
+    if not sent:
+        return keyed.sparkSession.createDataFrame([], "a long, b long")
+    tasks = max(LEAST_TASKS, sent // TASK_BYTES)  # groups of tiles, so that small clusters do not cost a call each
+    wanted = keyed.select("key", "version", "text").filter(_may_be_in(placed))
+    texts = wanted.join(placed.withColumnRenamed("node", "key"), ["key", "version"])
+    texts = texts.withColumn("other", F.explode(F.sequence("first", "last")))
+    side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)
+    tile_id = F.xxhash64("group", F.least("block", "other"), F.greatest("block", "other"))
+    return (
+        texts.select(F.col("key").alias("node"), "part", "text", side.alias("side"), tile_id.alias("tile_id"))
+        .withColumn("_task", F.pmod("tile_id", F.lit(tasks)))
+        .groupBy("_task")
+        .applyInArrow(_confirm(words, percent), "a long, b long")
+    )
+
+
+def _with_parts(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows of large clusters with the component of the links confirmed so far as their `part`."""
+    nodes = rows.select(F.col("node").alias("a")).distinct()
+    of = components(links.join(nodes, "a", "left_semi")).withColumnRenamed("component", "_part")
+    return stored(
+        rows.join(of, "node", "left").withColumn("part", F.coalesce("_part", "node")).drop("_part"), "parts"
+    )
+
+
 def near_duplicates(
     docs: DataFrame, words: int = WORDS, percent: int = PERCENT, rows: int = ROWS, id_: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -329,10 +409,10 @@ def near_duplicates(
     )
     # One document for each distinct set.
     found = signed.filter("n_shingles > 0")
-    first = F.min(F.struct("key", "version", "registers"))
+    first = F.min(F.struct("key", "version", "registers", "n_bytes"))
     classes = stored(
         found.groupBy("set_a", "set_b", "n_shingles").agg(first.alias("first")).select(
-            "set_a", "set_b", "n_shingles", F.col("first.key").alias("node"), "first.version", "first.registers"
+            "set_a", "set_b", "n_shingles", F.col("first.key").alias("node"), "first.version", "first.registers", "first.n_bytes"
         ),
         "classes",
     )
@@ -361,27 +441,32 @@ def near_duplicates(
     open_ = placed.join(spans.filter("_low < _high").select("band", "members"), "band")
     tiles = _tiles(open_.join(signs, "node"), "band", "members", TILE_MEMBERS)
     more = tiles.groupBy("tile").applyInArrow(_compare_groups(percent), "a long, b long")
-    clusters = components(stored(likely.unionByName(more), "likely"))
+    likely = stored(likely.unionByName(more), "likely")
+    clusters = components(likely)
 
     # 3. Full sets of each cluster.
-    candidates = classes.join(clusters, "node").select("node", "version", "n_shingles", F.col("component").alias("cluster"))
-    candidates = stored(candidates, "candidates")
-    sizes = candidates.groupBy("cluster").agg((F.sum("n_shingles") * 8).alias("bytes"))
-    tiled = _tiles(candidates.join(sizes, "cluster"), "cluster", "bytes", TILE_BYTES).select(
-        F.col("node").alias("key"), "version", "side", F.xxhash64("tile").alias("tile_id")
-    )
-    wanted = keyed.select("key", "version", "text").filter(_may_be_in(candidates))
-    texts = wanted.join(tiled, ["key", "version"]).select(
-        F.col("key").alias("node"), "text", "side", "tile_id"
+    weight = F.greatest(F.col("n_shingles") * 8, "n_bytes")
+    candidates = classes.join(clusters, "node").select(
+        "node", "version", weight.alias("bytes"), F.col("component").alias("cluster"), F.col("node").alias("part")
     )
-    total = candidates.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)) * 8).first()[0]
-    tasks = max(LEAST_TASKS, total // TASK_BYTES)  # groups of tiles, so that small clusters do not cost a call each
-    confirmed = (
-        texts.withColumn("_task", F.pmod("tile_id", F.lit(tasks)))
-        .groupBy("_task")
-        .applyInArrow(_confirm(words, percent), "a long, b long")
-    )
-    linked = components(stored(confirmed, "confirmed"))
+    candidates = stored(candidates, "candidates")
+    sizes = candidates.groupBy("cluster").agg(F.sum("bytes").alias("_bytes"), F.count("*").alias("_members"))
+    sizes = sizes.select("cluster", (_blocks("_bytes", "_members") > 1).alias("large"))
+    candidates = stored(candidates.join(sizes, "cluster"), "candidates")
+    small, large = candidates.filter("not large"), candidates.filter("large")
+    small = _placed(small.withColumn("block", F.lit(0)), "cluster", 0, 0)
+    one = likely.groupBy("b").agg(F.min("a").alias("a"))
+    confirmed = stored(_confirmed(keyed, small.unionByName(_stars(one, large)), words, percent), "confirmed")
+    if large.limit(1).count():
+        large = _with_parts(large, confirmed)
+        of_a, of_b = (large.select(F.col("node").alias(c), F.col("part").alias(f"of_{c}")).distinct() for c in "ab")
+        rest = likely.distinct().join(of_a, "a").join(of_b, "b").filter("of_a != of_b").select("a", "b")
+        more = _confirmed(keyed, _stars(rest, large), words, percent)
+        confirmed = stored(confirmed.unionByName(more), "confirmed")
+        large = _with_parts(large, confirmed)
+        more = _confirmed(keyed, _open_tiles(large), words, percent)
+        confirmed = stored(confirmed.unionByName(more), "confirmed")
+    linked = components(confirmed)
 
     of_class = classes.join(linked, "node", "left").select(
         "set_a", "set_b", "n_shingles", F.coalesce("component", "node").alias("component")

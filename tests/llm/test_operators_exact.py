@@ -91,6 +91,30 @@ def test_large_groups_are_cut_into_tiles(corpus, monkeypatch):
     assert got == {i: c for i, (_, c) in brute_components([r[:2] for r in rows], 3, 85).items()}
 
 
+def test_tasks_of_a_hot_group_of_near_copies_are_bounded(spark, monkeypatch):
+    """One group of near copies is confirmed in tasks whose bytes do not grow with the group."""
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(base[:i % 60] + [f"x{i}"] + base[i % 60 + 1 :])) for i in range(300)]
+    confirm = near_dup._confirm
+
+    def checked(words, percent):
+        run = confirm(words, percent)
+
+        def bounded(tiles):
+            sent = sum(map(len, tiles["text"].to_pylist()))
+            assert sent <= 20_000, f"{sent} bytes in one task"
+            return run(tiles)
+
+        return bounded
+
+    monkeypatch.setattr(near_dup, "_confirm", checked)
+    for name, value in (("TILE_BYTES", 2000), ("TASK_BYTES", 2000), ("LEAST_TASKS", 1)):
+        monkeypatch.setattr(near_dup, name, value)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r[0]: r[1] for r in near_dup.near_duplicates(docs).select("row.doc_id", "component").collect()}
+    assert got == {i: c for i, (_, c) in brute_components(rows, 3, 85).items()}
+
+
 def test_near_duplicates_of_messy_rows(messy, none):
     out = near_dup.near_duplicates(messy).select("row.doc_id", "n_shingles", "component").collect()
     assert len(out) == len(ROWS)
