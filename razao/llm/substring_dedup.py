@@ -8,9 +8,9 @@ document id, then start) is marked. Marked windows return to their documents, wh
 
 Scale: a task sends each of its strings once; the later copies of a string within a slice of a task are marked
 there and only their runs travel. Strings for one bucket are packed together and compressed. The number of
-buckets follows the packed bytes counted over the whole corpus, and minimisers that alone would fill a bucket
-are known from the same count (a fixed number of slots): their windows travel one by one, spread by the hash
-of the window. So no bucket grows with a frequent phrase or a large group of copies.
+buckets follows the bytes sent, counted over the whole corpus, and minimisers that alone would fill a quarter of
+a bucket are known from the same count (in slots whose number grows with the corpus, so that a slot is far below
+that on average): their windows travel one by one, spread by the hash of the window. So no bucket grows with a frequent phrase or a large group of copies.
 
 Rows: null and empty texts have no words. Texts of any length are taken whole. Ids are integers; null ids
 count as one id after all others. Rows with the same id and different texts are ordered by start only, and of
@@ -34,7 +34,8 @@ from razao.llm.words import Words, hash_spans, mix, normal_form, slices, sliding
 
 WINDOW, MINIMISER = 20, 3
 BUCKET_BYTES, LEAST_BUCKETS, SLICE = 4 << 20, 256, 4 << 20
-_SLOT_BITS, _LONGEST = 16, 4096
+_SLOT_BITS, _LONGEST = 16, 4096  # the least number of bits
+_HELD = 1 << 20
 _LAST_ID = np.iinfo(np.int64).max
 _RUN = [("id", "long"), ("version", "long"), ("start", "int"), ("length", "int")]
 _RUNS = ", ".join(f"{a} {b}" for a, b in _RUN)
@@ -43,7 +44,7 @@ _RUNS = ", ".join(f"{a} {b}" for a, b in _RUN)
 class _Cut:
     """The super-k-mers of a slice: first window `at`, number of windows `n`, mixed minimiser `key`."""
 
-    def __init__(self, words: Words, k: int, m: int, hot: np.ndarray | None = None):
+    def __init__(self, words: Words, k: int, m: int, hot: np.ndarray | None = None, bits: int = 0):
         self.words = words
         self.at, self.n, self.key = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
         where, window = words.windows(k)
@@ -51,7 +52,10 @@ class _Cut:
             return
         runs = words._windows_all(m)
         key = mix(sliding_min(runs, k - m + 1)[where])
-        alone = hot[(key >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)] if hot is not None else np.zeros(len(key), bool)
+        alone = np.zeros(len(key), bool)
+        if hot is not None and len(hot):  # slots, ascending
+            slot = _slot(key, bits)
+            alone = hot[np.minimum(np.searchsorted(hot, slot), len(hot) - 1)] == slot
         key = np.where(alone, mix(window + np.uint64(1)), key)
         new = np.ones(len(where), bool)
         new[1:] = (where[1:] != where[:-1] + 1) | (key[1:] != key[:-1]) | alone[1:] | alone[:-1]
@@ -65,27 +69,46 @@ class _Cut:
         self.at, self.n, self.key = where[first], length, key[first]
 
 
-def _size_up(k: int, m: int):
+def _slot(key: np.ndarray, bits: int) -> np.ndarray:
+    return (key >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _size_up(k: int, m: int, bits: int):
+    """Bytes by slot of the minimiser: of its strings, and of its windows if they travel one by one."""
+
+    def summed(held: list) -> pa.RecordBatch:
+        slot, packed_, alone = np.concatenate(held, axis=1)
+        at, of = np.unique(slot, return_inverse=True)
+        sums = [np.bincount(of, x, len(at)).astype(np.int64) for x in (packed_, alone)]
+        return pa.RecordBatch.from_pydict({"slot": at, "packed": sums[0], "alone": sums[1]})
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << _SLOT_BITS)
+        held, n = [], 0
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 cut = _Cut(Words(part["text"]), k, m)
-                if len(cut.at):
-                    size = cut.words.end[cut.at + cut.n + k - 2] - cut.words.start[cut.at]
-                    total += np.bincount((cut.key >> np.uint64(64 - _SLOT_BITS)).astype(np.int64), size, len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"slot": at, "bytes": total[at].astype(np.int64)})
+                if not len(cut.at):
+                    continue
+                start, end = cut.words.start, cut.words.end
+                windows = np.append(0, np.cumsum((end[k - 1 :] - start[: len(start) - k + 1]).astype(np.int64)))
+                size = (end[cut.at + cut.n + k - 2] - start[cut.at]).astype(np.int64)
+                held.append(np.stack([_slot(cut.key, bits), size, windows[cut.at + cut.n] - windows[cut.at]]))
+                n += len(cut.at)
+                if n > _HELD:
+                    yield summed(held)
+                    held, n = [], 0
+        if held:
+            yield summed(held)
 
     return run
 
 
-def _send(k: int, m: int, buckets: int, hot: np.ndarray):
+def _send(k: int, m: int, buckets: int, hot: np.ndarray, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             for part in slices(batch, "text", SLICE):
-                cut = _Cut(Words(part["text"]), k, m, hot)
+                cut = _Cut(Words(part["text"]), k, m, hot, bits)
                 if not len(cut.at):
                     continue
                 words = cut.words
@@ -262,12 +285,18 @@ def _remove(k: int):
 
 def repeated_runs(texts: DataFrame, k: int = WINDOW, m: int = MINIMISER) -> DataFrame:
     """(id, version, start, length): runs of windows that also start earlier; `texts` has id, version and text."""
-    slots = texts.select("text").mapInArrow(_size_up(k, m), "slot long, bytes long")
-    sizes = slots.groupBy("slot").agg(F.sum("bytes")).collect()  # a fixed number of slots
-    buckets = max(LEAST_BUCKETS, -(-sum(size for _, size in sizes) // BUCKET_BYTES))
-    hot = np.zeros(1 << _SLOT_BITS, bool)
-    hot[[slot for slot, size in sizes if size > BUCKET_BYTES // 4]] = True
-    sent = texts.mapInArrow(_send(k, m, buckets, hot), "bucket int, places binary, strings binary")
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    bits = max(_SLOT_BITS, (256 * size // BUCKET_BYTES).bit_length())  # strings are about three times the text
+    slots = texts.select("text").mapInArrow(_size_up(k, m, bits), "slot long, packed long, alone long")
+    slots = slots.groupBy("slot").agg(F.sum("packed").alias("packed"), F.sum("alone").alias("alone"))
+    is_hot = F.col("packed") > BUCKET_BYTES // 4
+    total, hot = slots.agg(
+        F.coalesce(F.sum(F.when(is_hot, F.col("alone")).otherwise(F.col("packed"))), F.lit(0)),
+        F.collect_list(F.when(is_hot, F.col("slot"))),  # each holds a quarter of a bucket
+    ).first()
+    buckets = max(LEAST_BUCKETS, -(-total // BUCKET_BYTES))
+    hot = np.sort(np.array(hot, np.int64))
+    sent = texts.mapInArrow(_send(k, m, buckets, hot, bits), "bucket int, places binary, strings binary")
     return sent.groupBy("bucket").applyInArrow(_meet(k), _RUNS)
 
 

@@ -3,9 +3,12 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
+import pyarrow as pa
+import zstandard
 from conftest import BASE, ROWS, WORDS, frame, taken
 from pyspark.sql import functions as F
 
@@ -198,6 +201,26 @@ def test_repeats_equal_plain_search(corpus, monkeypatch):
     assert taken(substring_dedup.remove_repeats(docs), "row.doc_id", "n_words", "n_removed", "kept_text") == want
 
 
+def test_a_large_corpus_still_travels_in_long_strings(spark, monkeypatch):
+    """With more bytes than the least number of slots can tell apart, only frequent minimisers go window by window."""
+    rnd = random.Random(3)
+    rows = [(i, " ".join(f"v{rnd.randrange(10**6)}" for _ in range(1000))) for i in range(1300)]
+    monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", 1600)
+
+    def counted(k):
+        def run(group):
+            n = sum(len(zstandard.decompress(p)) // 32 for p in group["places"].to_pylist())
+            return pa.table({"id": [0], "version": [0], "start": pa.array([n], pa.int32()), "length": pa.array([0], pa.int32())})
+
+        return run
+
+    monkeypatch.setattr(substring_dedup, "_meet", counted)
+    docs = spark.createDataFrame(rows, "id long, text string").repartition(8).select("id", F.lit(0).cast("long").alias("version"), "text")
+    strings = substring_dedup.repeated_runs(docs).agg(F.sum("start")).first()[0]
+    windows = 1300 * (1000 - 19)
+    assert strings < windows / 4
+
+
 def test_repeats_in_messy_rows(messy, none):
     got = taken(substring_dedup.remove_repeats(messy), "row.doc_id", "n_words", "n_removed", "kept_text")
     assert got == brute_removed([r[:2] for r in ROWS], 20)
