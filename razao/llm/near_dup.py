@@ -377,6 +377,7 @@ def _confirmed(keyed: DataFrame, placed: DataFrame, words: int, percent: int) ->
         return keyed.sparkSession.createDataFrame([], "a long, b long")
     tasks = max(LEAST_TASKS, sent // TASK_BYTES)  # groups of tiles, so that small clusters do not cost a call each
     wanted = keyed.select("key", "version", "text").filter(_may_be_in(placed))
+    wanted = wanted.groupBy("key", "version").agg(F.first("text").alias("text"))  # repeated rows are one
     texts = wanted.join(placed.withColumnRenamed("node", "key"), ["key", "version"])
     texts = texts.withColumn("other", F.explode(F.sequence("first", "last")))
     side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)

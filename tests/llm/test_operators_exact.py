@@ -118,6 +118,24 @@ def test_tasks_of_a_hot_group_of_near_copies_are_bounded(spark, monkeypatch):
     assert got == {i: c for i, (_, c) in brute_components(rows, 3, 85).items()}
 
 
+def test_repeated_rows_are_compared_once(spark, monkeypatch):
+    rows = [(1, BASE)] * 40 + [(None, BASE + " more")] * 40 + [(2, BASE + " end")]
+    confirm = near_dup._confirm
+
+    def checked(words, percent):
+        run = confirm(words, percent)
+
+        def few(tiles):
+            assert tiles.num_rows <= 3, f"{tiles.num_rows} rows in one task"
+            return run(tiles)
+
+        return few
+
+    monkeypatch.setattr(near_dup, "_confirm", checked)
+    out = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert [r[0] for r in out.select("component").collect()] == [1] * len(rows)
+
+
 def test_near_duplicates_of_messy_rows(messy, none):
     out = near_dup.near_duplicates(messy).select("row.doc_id", "n_shingles", "component").collect()
     assert len(out) == len(ROWS)
