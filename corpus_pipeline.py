@@ -26,7 +26,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the least id."""
-    return near_dup.one_of_each(docs, NEAR_WORDS, NEAR_PERCENT, NEAR_ROWS)
+    return near_dup.one_of_each(docs, NEAR_WORDS, NEAR_PERCENT, NEAR_ROWS, apart=True)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

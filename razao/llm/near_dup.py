@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from razao.llm.common import packed, stored, table
+from razao.llm.common import WORD, packed, stored, table
 from razao.llm.components import components
 from razao.llm.words import Words, mix, slices
 
@@ -400,10 +400,14 @@ def _with_parts(rows: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, words: int = WORDS, percent: int = PERCENT, rows: int = ROWS, id_: str = "doc_id", text: str = "text"
+    docs: DataFrame, words: int = WORDS, percent: int = PERCENT, rows: int = ROWS, id_: str = "doc_id", text: str = "text",
+    apart: bool = False,
 ) -> DataFrame:
-    """(key, version, row without the text, n_shingles, component): `component` is the least key that is reachable."""
-    keyed = _keyed(docs, id_, text).select(F.col("row").dropFields(text).alias("row"), "key", "version", "text")
+    """(key, version, row without the text, n_shingles, component): `component` is the least key that is reachable.
+
+    With `apart`, rows of one id and different texts are documents of their own, and `key` is a hash of both.
+    """
+    keyed = _keyed(docs, id_, text, apart).select(F.col("row").dropFields(text).alias("row"), "key", "version", "text")
     kind = keyed.schema["row"].dataType.simpleString()
     signed = stored(
         keyed.mapInArrow(_sign(words), f"row {kind}, key long, version long, {_SIGNATURE}"), "signatures"
@@ -479,22 +483,35 @@ def near_duplicates(
     return out.select("key", "version", "row", "n_shingles", F.coalesce("component", "key").alias("component"))
 
 
-def _keyed(docs: DataFrame, id_: str, text: str) -> DataFrame:
+def _keyed(docs: DataFrame, id_: str, text: str, apart: bool = False) -> DataFrame:
     """Every row with the key of its document and a version that tells texts of one key apart."""
     value = F.col(f"row.`{text}`")
     no_id = F.lit(NO_ID) + F.pmod(F.xxhash64(value), F.lit(NO_ID))
+    id_of = F.col(f"row.`{id_}`").cast("long")
     return packed(docs).select(
         "row",
-        F.coalesce(F.col(f"row.`{id_}`").cast("long"), no_id).alias("key"),
+        (F.xxhash64(id_of, value) if apart else F.coalesce(id_of, no_id)).alias("key"),
         F.xxhash64(value).alias("version"),
         value.alias("text"),
     )
 
 
 def one_of_each(
-    docs: DataFrame, words: int = WORDS, percent: int = PERCENT, rows: int = ROWS, id_: str = "doc_id", text: str = "text"
+    docs: DataFrame, words: int = WORDS, percent: int = PERCENT, rows: int = ROWS, id_: str = "doc_id", text: str = "text",
+    apart: bool = False,
 ) -> DataFrame:
-    """The input with one row of each component, the one with the least id; repeated rows are one."""
+    """The input with one row of each component, the one with the least id; repeated rows are one.
+
+    With `apart`, only rows that are linked by their sets or wholly repeated are reduced to one, also if ids are reused.
+    """
+    if apart:
+        number = F.coalesce(F.col(f"row.`{id_}`").cast("long"), F.lit(NO_ID))
+        found = near_duplicates(docs, words, percent, rows, id_, text, apart).filter("n_shingles > 0")
+        least = found.groupBy("component").agg(F.min(F.struct(number.alias("number"), "version", "key")).alias("least"))
+        kept = least.select("least.key", "least.version")
+        both = _keyed(docs, id_, text, apart).select("row", "key", "version").join(kept, ["key", "version"], "left_semi")
+        empty = docs.filter(~F.coalesce(F.col(f"`{text}`").rlike(WORD), F.lit(False)))
+        return both.dropDuplicates(["key", "version"]).select("row.*").unionByName(empty.dropDuplicates())
     found = near_duplicates(docs, words, percent, rows, id_, text).filter("key = component")
     kept = found.groupBy("key").agg(F.min("version").alias("version"))
     both = _keyed(docs, id_, text).select("row", "key", "version").join(kept, ["key", "version"], "left_semi")

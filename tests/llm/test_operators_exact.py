@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 
+import corpus_pipeline
 import pyarrow as pa
 import zstandard
 from conftest import BASE, ROWS, WORDS, frame, taken
@@ -136,6 +137,14 @@ def test_repeated_rows_are_compared_once(spark, monkeypatch):
     assert [r[0] for r in out.select("component").collect()] == [1] * len(rows)
 
 
+def test_the_stage_keeps_different_texts_of_one_id(spark):
+    rows = [(9, BASE, "a"), (9, "an unrelated text", "a"), (1, BASE + " end", "a"), (3, "once", "a"), (3, "once", "a")]
+    rows += [(None, None, "a"), (None, None, "b"), (None, None, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted({*rows[1:]}, key=repr)
+
+
 def test_near_duplicates_of_messy_rows(messy, none):
     out = near_dup.near_duplicates(messy).select("row.doc_id", "n_shingles", "component").collect()
     assert len(out) == len(ROWS)
