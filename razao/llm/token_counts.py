@@ -3,15 +3,17 @@
 A tokenizer's normalizer and pre-tokenizer cut every text into pre-tokens, which its model turns into pieces
 one by one; so a text's token count is the sum, over its distinct pre-tokens, of frequency times pieces.
 
-1. Distinct pre-tokens of the corpus with their occurrences; each goes through the model once (`vocabulary`).
-2. Frequencies of pre-tokens in each document meet the vocabulary. The most frequent pre-tokens, at most
-   `most_frequent` of them (a bound on what is sent to the tasks), are met where the document is; the others are
-   joined by pre-token in a shuffle. One pre-token among the others has at most 2 / `most_frequent` of all
-   occurrences, so none is hot.
+1. The distinct units of the corpus with their occurrences. A unit is a pre-token; with `runs`, for tokenizers
+   whose pre-tokens hold no white space, it is a run between ASCII white space, so that the texts need no
+   tokenizer: each distinct run is cut into its pre-tokens once (`units`).
+2. Each distinct pre-token goes through the model once; a run's pieces are the sum of its pre-tokens'.
+3. The frequencies of units in each document are joined with the pieces, and summed.
 
-Special strings in a text are pre-tokens of one piece, as the tokenizer's own default has it. With `runs` (for
-tokenizers whose pre-tokens hold no white space) a text is cut at ASCII white space first, and each distinct
-run of a slice is cut once; otherwise whole texts go through the pre-tokenizer.
+Both joins take the most frequent keys, at most `most_frequent` of them (a bound on what is sent to the
+tasks), where they are, and only the others in a shuffle. A key among the others has at most 2 /
+`most_frequent` of all occurrences, so none is hot.
+
+Special strings in a text are pre-tokens of one piece, as the tokenizer's own default has it.
 
 Rows: null and empty texts have no bytes and no tokens; texts are taken whole, of any length. Repeated rows,
 equal ids and null ids are rows of their own. An empty table gives an empty result. Other columns of the
@@ -21,7 +23,6 @@ input pass through in the struct `row`.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,11 +36,11 @@ from razao.llm.common import packed, stored, table
 from razao.llm.spans import distinct_spans
 from razao.llm.words import Words, slices
 
-MOST_FREQUENT, LIMIT = 1 << 16, 2048
-#: Runs whose pre-tokens a task remembers, and the longest such run; pre-tokens longer than that are not sent to tasks.
-_REMEMBERED, _LONGEST = 1 << 17, 64
-#: Rows of runs that a task counts at once.
-_COUNTED = 1 << 18
+MOST_FREQUENT, LIMIT = 1 << 18, 2048
+#: Keys longer than this are never sent to the tasks.
+_LONGEST = 64
+#: Bytes of text that a task cuts at once.
+_SLICE_BYTES = 1 << 22
 
 
 @lru_cache(maxsize=4)
@@ -68,59 +69,68 @@ def pre_tokens(path: str, text: str) -> list[str]:
     return out
 
 
+def pre_tokens_of_runs(path: str, runs: list[str]) -> list[list[str]]:
+    """The pre-tokens of each run without white space; all runs but unusual ones are cut by one call."""
+    tokenizer, _, cut = _tokenizer(path)
+    joined = " ".join(runs)
+    plain = joined.split() == runs and not (cut and cut.search(joined))
+    usual = runs if plain else [r for r in runs if r.split() == [r] and not (cut and cut.search(r))]
+    joined = joined if plain else " ".join(usual)
+    normal = tokenizer.normalizer.normalize_str(joined) if tokenizer.normalizer else joined
+    ends = np.flatnonzero(np.frombuffer(normal.encode("utf-32-le"), np.uint32) == 32)
+    split = tokenizer.pre_tokenizer.pre_tokenize_str(normal) if usual else []
+    if usual and len(ends) == len(usual) - 1:
+        tokens = [piece for piece, _ in split]
+        first = np.searchsorted(np.fromiter((at for _, (at, _) in split), np.int64, len(split)), ends).tolist()
+        found = [tokens[a:b] for a, b in zip([0, *first], [*first, len(tokens)])]
+    else:
+        found = [pre_tokens(path, r) for r in usual]
+    if plain:
+        return found
+    of = dict(zip(usual, found))
+    return [of[r] if r in of else pre_tokens(path, r) for r in runs]
+
+
 def pieces(path: str, token: str) -> int:
     """Number of pieces of a pre-token."""
     tokenizer, special, _ = _tokenizer(path)
     return 1 if token in special else len(tokenizer.model.tokenize(token))
 
 
-class _Cutter:
-    """Units of a slice of texts with their pre-tokens: distinct runs, or the texts themselves."""
-
-    def __init__(self, path: str, runs: bool):
-        self.path, self.runs, self.known = path, runs, {}
-
-    def cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[str]]]:
-        """Text, unit and frequency of each distinct pair, and the pre-tokens of each unit."""
-        if not self.runs:
-            each = np.arange(len(texts))
-            return each, each, np.ones(len(texts), np.int64), [pre_tokens(self.path, t or "") for t in texts.to_pylist()]
+def _cut(path: str, runs: bool, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """Text, unit and frequency of each distinct pair, and the units as strings."""
+    if runs:
         words = Words(texts)
+        text = words.text
         unit, values = distinct_spans(words.data, words.start, words.end)
-        pair, n = np.unique(words.text * max(1, len(values)) + unit, return_counts=True)
-        text, unit = np.divmod(pair, max(1, len(values)))
-        return text, unit, n, [self._of_run(v) for v in values.to_pylist()]
-
-    def _of_run(self, run: bytes) -> list[str]:
-        found = self.known.get(run)
-        if found is None:
-            found = pre_tokens(self.path, run.decode())
-            if len(run) <= _LONGEST:
-                if len(self.known) >= _REMEMBERED:
-                    self.known.clear()
-                self.known[run] = found
-        return found
+        values = values.cast(pa.large_string())
+    else:
+        each = [pre_tokens(path, t or "") for t in texts.to_pylist()]
+        text = np.repeat(np.arange(len(each)), [len(of) for of in each])
+        found = pa.array([token for of in each for token in of], pa.large_string()).dictionary_encode()
+        unit, values = found.indices.to_numpy().astype(np.int64), found.dictionary
+    pair, n = np.unique(text * max(1, len(values)) + unit, return_counts=True)
+    text, unit = np.divmod(pair, max(1, len(values)))
+    return text, unit, n, values
 
 
 def _occurrences(path: str, runs: bool):
-    def table_of(total: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict(
-            {"token": pa.array(list(total), pa.string()), "n": pa.array(list(total.values()), pa.int64())}
-        )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", _SLICE_BYTES):
+                _, unit, n, values = _cut(path, runs, part["text"])
+                often = np.bincount(unit, n, minlength=len(values)).astype(np.int64)
+                yield pa.RecordBatch.from_pydict({"unit": values.cast(pa.string()), "n": pa.array(often)})
 
+    return run
+
+
+def _with_tokens(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter, total = _Cutter(path, runs), Counter()
         for batch in batches:
-            for part in slices(batch, "text"):
-                _, unit, n, tokens = cutter.cut(part["text"])
-                often = np.bincount(unit, n, minlength=len(tokens)).astype(np.int64).tolist()
-                for of, times in zip(tokens, often):
-                    for token in of:
-                        total[token] += times
-                if len(total) >= _COUNTED:
-                    yield table_of(total)
-                    total = Counter()
-        yield table_of(total)
+            for part in slices(batch, "unit", _SLICE_BYTES):
+                tokens = pre_tokens_of_runs(path, part["unit"].to_pylist())
+                yield part.append_column("tokens", pa.array(tokens, pa.list_(pa.string())))
 
     return run
 
@@ -128,54 +138,66 @@ def _occurrences(path: str, runs: bool):
 def _with_pieces(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = [pieces(path, token) for token in batch["token"].to_pylist()]
+            counts = [pieces(path, token) for token in batch["unit"].to_pylist()]
             yield batch.append_column("pieces", pa.array(counts, pa.int64()))
 
     return run
 
 
-def vocabulary(docs: DataFrame, path: str, text: str = "text", runs: bool = False) -> DataFrame:
-    """(token, n, pieces): every distinct pre-token of the texts, its occurrences and its number of pieces."""
-    seen = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(_occurrences(path, runs), "token string, n long")
-    distinct = seen.groupBy("token").agg(F.sum("n").alias("n"))
-    return stored(distinct.mapInArrow(_with_pieces(path), "token string, n long, pieces long"), "vocabulary")
+def _pieces_of(tokens: DataFrame, path: str) -> DataFrame:
+    """(unit, n, pieces) for distinct pre-tokens (unit, n)."""
+    return stored(tokens.mapInArrow(_with_pieces(path), "unit string, n long, pieces long"), "vocabulary")
 
 
-def frequent(words: DataFrame, most: int = MOST_FREQUENT) -> dict[str, int]:
-    """Pieces of the pre-tokens with the most occurrences: all from a power of two on, at most `most` of them."""
-    level = F.length(F.bin("n"))
-    levels = words.filter(F.length("token") <= _LONGEST).groupBy(level.alias("level")).count().collect()  # 63 rows at most
+def frequent(keys: DataFrame, most: int = MOST_FREQUENT) -> DataFrame:
+    """The keys (unit, n, ...) with the most occurrences: all from a power of two on, at most `most` of them."""
+    level, short = F.length(F.bin("n")), F.length("unit") <= _LONGEST
+    levels = keys.filter(short).groupBy(level.alias("level")).count().collect()  # 63 rows at most
     lowest, total = 64, 0
     for at, count in sorted(map(tuple, levels), reverse=True):
         total += count
         if total > most:
             break
         lowest = at
-    known = words.filter((F.length("token") <= _LONGEST) & (level >= lowest))
-    return {r.token: r.pieces for r in known.select("token", "pieces").collect()}
+    return keys.filter(short & (level >= lowest))
+
+
+def units(docs: DataFrame, path: str, text: str = "text", runs: bool = False, most: int = MOST_FREQUENT) -> DataFrame:
+    """(unit, n, pieces): every distinct unit of the texts, its occurrences and its number of pieces."""
+    seen = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(_occurrences(path, runs), "unit string, n long")
+    distinct = seen.groupBy("unit").agg(F.sum("n").alias("n"))
+    if not runs:
+        return _pieces_of(distinct, path)
+    cut = stored(distinct.mapInArrow(_with_tokens(path), "unit string, n long, tokens array<string>"), "runs")
+    rows = cut.select(F.col("unit").alias("run"), "n", F.explode("tokens").alias("unit"))
+    vocabulary = _pieces_of(rows.groupBy("unit").agg(F.sum("n").alias("n")), path)
+    near = F.broadcast(frequent(vocabulary, most).select("unit", "pieces"))  # at most `most` rows
+    met = rows.join(near, "unit", "left")
+    rest = met.filter("pieces IS NULL").drop("pieces").join(vocabulary.select("unit", "pieces"), "unit")
+    priced = met.filter("pieces IS NOT NULL").select("run", "pieces").unionByName(rest.select("run", "pieces"))
+    sums = priced.groupBy("run").agg(F.sum("pieces").alias("pieces"))
+    # A run may hold no pre-token at all.
+    out = cut.select("unit", "n").join(sums.withColumnRenamed("run", "unit"), "unit", "left").fillna(0, ["pieces"])
+    return stored(out, "units")
 
 
 def _sums(path: str, runs: bool, known: dict[str, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter = _Cutter(path, runs)
         for batch in batches:
-            for part in slices(batch, "text"):
-                text, unit, n, tokens = cutter.cut(part["text"])
-                of_unit = np.array([sum(known.get(t, 0) for t in of) for of in tokens], np.int64)
-                others = [[t for t in of if t not in known] for of in tokens]
-                rest = [Counter() for _ in range(part.num_rows)]
-                open_ = np.fromiter(map(bool, others), bool, len(others))
-                for t, u, times in zip(*(x[open_[unit]].tolist() for x in (text, unit, n))):
-                    for token in others[u]:
-                        rest[t][token] += times
-                summed = np.zeros(part.num_rows, np.int64)
-                np.add.at(summed, text, of_unit[unit] * n)
+            for part in slices(batch, "text", _SLICE_BYTES):
+                text, unit, n, values = _cut(path, runs, part["text"])
+                of_unit = np.fromiter(map(lambda v: known.get(v, -1), values.to_pylist()), np.int64, len(values))
+                met = of_unit[unit] >= 0
+                sums = np.zeros(part.num_rows, np.int64)
+                np.add.at(sums, text[met], of_unit[unit[met]] * n[met])
+                at = np.searchsorted(text[~met], np.arange(part.num_rows + 1)).astype(np.int32)
+                rest = values.take(pa.array(unit[~met])).cast(pa.string())
                 yield pa.RecordBatch.from_pydict(
                     {
                         "row": part["row"],
                         "n_bytes": pc.fill_null(pc.binary_length(part["text"]), 0).cast(pa.int64()),
-                        "known": pa.array(summed),
-                        "rest": pa.array([list(of.items()) for of in rest], pa.map_(pa.string(), pa.int64())),
+                        "known": pa.array(sums),
+                        "rest": pa.MapArray.from_arrays(pa.array(at), rest, pa.array(n[~met].astype(np.int64))),
                     }
                 )
 
@@ -186,16 +208,15 @@ def token_counts(
     docs: DataFrame, path: str, text: str = "text", runs: bool = False, most_frequent: int = MOST_FREQUENT, keep_text: bool = True
 ) -> DataFrame:
     """The struct `row`, `n_bytes` (UTF-8) and `n_tokens` for every document."""
-    words = vocabulary(docs, path, text, runs)
+    priced = units(docs, path, text, runs, most_frequent)
+    known = {r.unit: r.pieces for r in frequent(priced, most_frequent).select("unit", "pieces").collect()}
     row = F.col("row") if keep_text else F.col("row").dropFields(f"`{text}`")
     rows = packed(docs).select(row.alias("row"), F.col(f"row.`{text}`").alias("text"))
     kind = rows.schema["row"].dataType.simpleString()
-    summed = rows.mapInArrow(
-        _sums(path, runs, frequent(words, most_frequent)), f"row {kind}, n_bytes long, known long, rest map<string, long>"
-    )
+    summed = rows.mapInArrow(_sums(path, runs, known), f"row {kind}, n_bytes long, known long, rest map<string, long>")
     summed = stored(summed.withColumn("_no", F.monotonically_increasing_id()), "known-tokens")
-    others = summed.filter("size(rest) > 0").select("_no", F.explode("rest").alias("token", "times"))
-    more = others.join(words.select("token", "pieces"), "token").groupBy("_no").agg(
+    others = summed.filter("size(rest) > 0").select("_no", F.explode("rest").alias("unit", "times"))
+    more = others.join(priced.select("unit", "pieces"), "unit").groupBy("_no").agg(
         F.sum(F.col("times") * F.col("pieces")).alias("_more")
     )
     total = (F.col("known") + F.coalesce("_more", F.lit(0))).alias("n_tokens")

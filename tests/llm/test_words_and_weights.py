@@ -149,14 +149,21 @@ def test_token_counts_of_an_empty_table(none):
 
 def test_what_is_sent_to_tasks_is_bounded(spark):
     rows = [(f"t{i}", 1 + i, 1) for i in range(1000)]
-    words = spark.createDataFrame(rows, "token string, n long, pieces long")
+    words = spark.createDataFrame(rows, "unit string, n long, pieces long")
     for most in (0, 10, 600, 5000):
-        known = token_counts.frequent(words, most)
+        known = {r.unit for r in token_counts.frequent(words, most).collect()}
         assert len(known) <= most
         rest = max((n for t, n, _ in rows if t not in known), default=0)
         assert not most or rest <= 2 * sum(r[1] for r in rows) / most
 
 
+def test_runs_are_cut_as_alone():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    runs = ["plain", "two,parts", "it's", "a\u00a0b", "\u2003", "x<|endoftext|>y", "\u0301e", "İ", "ς", "½", "\x1c", "l'été"]
+    for of in (runs, runs[:3], ["\u2003"], []):
+        assert token_counts.pre_tokens_of_runs(path, of) == [token_counts.pre_tokens(path, r) for r in of]
+
+
 # --- importance resampling
 
 
