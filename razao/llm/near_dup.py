@@ -433,7 +433,7 @@ def near_duplicates(
     pairs = members.filter("node != head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     likely = pairs.join(a, "a").join(b, "b").mapInArrow(_likely(percent), "a long, b long")
     likely = stored(likely, "likely")
-    clusters = components(likely)
+    clusters = components(likely)  # of up to a link for each band of a node, one a node is followed
 
     # 2. Groups that span clusters, by registers inside the group.
     placed = members.join(clusters, "node", "left").select(
@@ -446,8 +446,9 @@ def near_duplicates(
     open_ = placed.join(spans.filter("_low < _high").select("band", "members"), "band")
     tiles = _tiles(open_.join(signs, "node"), "band", "members", TILE_MEMBERS)
     more = tiles.groupBy("tile").applyInArrow(_compare_groups(percent), "a long, b long")
-    likely = stored(likely.unionByName(more), "likely")
-    clusters = components(likely)
+    more = stored(more, "likely")
+    clusters = components(more, start=clusters)
+    likely = likely.unionByName(more)
 
     # 3. Full sets of each cluster.
     weight = F.greatest(F.col("n_shingles") * 8, "n_bytes")
