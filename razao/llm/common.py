@@ -15,9 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def packed(df: DataFrame) -> DataFrame:
-    """The whole input row in one struct column `row`, so that no name of the input can clash."""
-    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+def packed(df: DataFrame, **more: Column) -> DataFrame:
+    """The whole input row in one struct column `row`, so that no name of the input can clash; and columns made from it."""
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+    return df.select(row, *[c.alias(name) for name, c in more.items()])
 
 
 def root_bins(rows: int) -> int:

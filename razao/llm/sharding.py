@@ -10,7 +10,8 @@ links fill the shards up to the even size, the larger ones first, so that sizes
 
 Rows: a null text has no bytes and no link; equal empty texts are linked as any other equal texts. Repeated
 rows are rows of their own. An empty table gives an empty result. Columns of the input pass through in the
-struct `row`, whatever their names are. Only sums for each shard, or pair of shards, reach the driver.
+struct `row`, whatever their names are. Only sums for each shard, or pair of shards, reach the driver. Rows are
+numbered as they are read, so another split of the same input may give other shards.
 """
 
 from __future__ import annotations
@@ -47,49 +48,74 @@ def propagate(nodes: DataFrame, edges: DataFrame, shards: int, room: int, rounds
         ),
         "edges",
     )
-    still = 0
+    loads, still = _loads(labels, shards), 0
     for turn in range(rounds):
-        moved = _round(labels, both, shards, room, turn)
-        labels = stored(moved, "labels")
-        still = 0 if labels.filter("moved").limit(1).count() else still + 1
-        labels = labels.drop("moved")
+        asking = stored(_asking(labels, both, turn), "asking")
+        flows = {(r.shard, r.to): r.bytes for r in asking.filter("to IS NOT NULL").groupBy("shard", "to").agg(F.sum("size").alias("bytes")).collect()}
+        last = _admitted(asking, quotas(flows, loads, room))
+        for r in last:
+            loads[r.shard] -= r.bytes
+            loads[r.to] += r.bytes
+        still = 0 if last else still + 1
         if still == 3:
             break
+        if last:
+            labels = stored(_moved(asking, last), "labels")
     return labels
 
 
-def _round(labels: DataFrame, both: DataFrame, shards: int, room: int, turn: int) -> DataFrame:
+def _asking(labels: DataFrame, both: DataFrame, turn: int) -> DataFrame:
+    """Labels with the shard a node asks `to` move to, null if it does not, and its `place` among those who ask.
+
+    A node asks for the shard of most of its neighbours; ties go to a hash of node and shard.
+    """
     seen = both.join(labels.select(F.col("uid").alias("other"), F.col("shard").alias("to")), "other")
-    votes = seen.groupBy("node", "to").agg(F.count("*").alias("votes"))
-    active = F.pmod(F.xxhash64("uid", F.lit(turn)), F.lit(2)) == 0
-    asked = votes.join(labels.filter(active), votes["node"] == labels["uid"])
-    best = asked.groupBy("uid", "size", "shard").agg(
-        F.max_by("to", F.struct("votes", -F.pmod(F.xxhash64("uid", "to"), F.lit(_BINS)))).alias("to"),
-        F.max("votes").alias("most"),
-        F.coalesce(F.sum(F.when(F.col("to") == F.col("shard"), F.col("votes"))), F.lit(0)).alias("own"),
+    votes = seen.groupBy(F.col("node").alias("uid"), "to").agg(F.count("*").alias("votes"))
+    nulls = {n: F.lit(None).cast(t) for n, t in (("to", "int"), ("votes", "long"))}
+    own = labels.select("uid", "size", "shard").withColumns(nulls)
+    both_kinds = votes.withColumns({n: F.lit(None).cast(t) for n, t in (("size", "long"), ("shard", "int"))}).unionByName(own)
+    ballot = F.struct("votes", (-F.pmod(F.xxhash64("uid", "to"), F.lit(_BINS))).alias("luck"), "to")
+    ballots = both_kinds.groupBy("uid").agg(
+        F.max("size").alias("size"), F.max("shard").alias("shard"),
+        F.collect_list(F.when(F.col("to").isNotNull(), ballot)).alias("ballots"),  # one for each shard at most
     )
+    best = F.array_max("ballots")
+    stays = F.coalesce(F.get(F.filter("ballots", lambda v: v["to"] == F.col("shard")), F.lit(0))["votes"], F.lit(0))
+    judged = ballots.select("uid", "size", "shard", best["to"].alias("best"), best["votes"].alias("most"), stays.alias("own"))
+    active = F.pmod(F.xxhash64("uid", F.lit(turn)), F.lit(2)) == 0
+    asks = active & (F.col("best") != F.col("shard")) & (F.col("most") > F.col("own"))
     gain = F.least(F.col("most") - F.col("own"), F.lit(_GAINS)).cast("int")
     place = (F.lit(_GAINS) - gain) * _BINS + F.pmod(F.xxhash64("uid", F.lit(turn)), F.lit(_BINS)).cast("int")
-    movers = best.filter("to != shard AND most > own").select("uid", "size", "shard", "to", place.alias("place"))
-    flows = movers.groupBy("shard", "to", "place").agg(F.sum("size").alias("bytes"))
-    pairs = flows.groupBy("shard", "to").agg(F.sum("bytes").alias("flow"))
-    back = pairs.select(F.col("to").alias("shard"), F.col("shard").alias("to"), F.col("flow").alias("back"))
-    into = pairs.groupBy("to").agg(F.sum("flow").alias("inflow"))
-    free = labels.groupBy(F.col("shard").alias("to")).agg(F.greatest(F.lit(0), F.lit(room) - F.sum("size")).alias("free"))
-    quota = F.least("flow", F.coalesce("back", F.lit(0))) + F.coalesce("free", F.lit(room)) * F.col("flow") / F.col("inflow")
-    quotas = (
-        pairs.join(back, ["shard", "to"], "left").join(into, "to").join(free, "to", "left")
-        .select("shard", "to", quota.alias("quota"))
-    )
+    return judged.select("uid", "size", "shard", F.when(asks, F.col("best")).alias("to"), F.when(asks, place).alias("place"))
+
+
+def quotas(flows: dict[tuple[int, int], int], loads: list[int], room: int) -> dict[tuple[int, int], float]:
+    """Bytes that may move from one shard to another: what wants to go the opposite way, and a share of the free room."""
+    into = dict.fromkeys(range(len(loads)), 0)
+    for (_, to), n in flows.items():
+        into[to] += n
+    return {
+        (shard, to): min(n, flows.get((to, shard), 0)) + max(0, room - loads[to]) * n / into[to]
+        for (shard, to), n in flows.items()
+    }
+
+
+def _admitted(asking: DataFrame, quota: dict[tuple[int, int], float]) -> list:
+    """For each pair of shards the last place that may move, and the bytes up to it; at most shards squared rows."""
+    if not quota:
+        return []
+    table_of = asking.sparkSession.createDataFrame([(*k, float(v)) for k, v in quota.items()], "shard int, to int, quota double")
+    flows = asking.filter("to IS NOT NULL").groupBy("shard", "to", "place").agg(F.sum("size").alias("bytes"))
     so_far = F.sum("bytes").over(Window.partitionBy("shard", "to").orderBy("place"))
-    last = (
-        flows.withColumn("so_far", so_far).join(quotas, ["shard", "to"]).filter("so_far <= quota")
-        .groupBy("shard", "to").agg(F.max("place").alias("last"))
-    )
-    moves = movers.join(last, ["shard", "to"]).filter("place <= last").select("uid", "to")
-    return labels.join(moves, "uid", "left").select(
-        "uid", "size", F.coalesce("to", "shard").alias("shard"), F.col("to").isNotNull().alias("moved")
-    )
+    fits = flows.withColumn("so_far", so_far).join(F.broadcast(table_of), ["shard", "to"]).filter("so_far <= quota")
+    return fits.groupBy("shard", "to").agg(F.max("place").alias("last"), F.max("so_far").alias("bytes")).collect()
+
+
+def _moved(asking: DataFrame, last: list) -> DataFrame:
+    """Labels after the moves."""
+    table_of = asking.sparkSession.createDataFrame([(r.shard, r.to, r.last) for r in last], "shard int, to int, last int")
+    met = asking.join(F.broadcast(table_of), ["shard", "to"], "left")
+    return met.select("uid", "size", F.when(F.col("place") <= F.col("last"), F.col("to")).otherwise(F.col("shard")).alias("shard"))
 
 
 def _fill(rows: DataFrame, room: list[float]) -> DataFrame:
@@ -112,16 +138,8 @@ def shard_rows(
     docs: DataFrame, size: Column, link: Column, shards: int = SHARDS, rounds: int = ROUNDS
 ) -> DataFrame:
     """Columns `row` (the input row), `size`, `shard` and `slot` (0, 1, ... in each shard)."""
-    keyed = docs.withColumns({"_shard_size": size, "_shard_link": link})
-    rows = stored(
-        packed(keyed).select(
-            F.monotonically_increasing_id().alias("uid"),  # fixed by being written
-            F.col("row._shard_size").alias("size"),
-            F.col("row._shard_link").alias("link"),
-            F.col("row").dropFields("_shard_size", "_shard_link").alias("row"),
-        ),
-        "shard-rows",
-    )
+    uid = F.monotonically_increasing_id()  # fixed by being written
+    rows = stored(packed(docs, uid=uid, size=size, link=link), "shard-rows")
     nodes = rows.select("uid", "size", "link")
     hubs = nodes.filter("link IS NOT NULL").groupBy("link").agg(F.min("uid").alias("hub"), F.count("*").alias("n"))
     hubs = stored(hubs.filter("n > 1").select("link", "hub"), "hubs")  # so that a hot link's join can be split

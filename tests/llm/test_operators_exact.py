@@ -8,12 +8,17 @@ import re
 import zlib
 
 import corpus_pipeline
+import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import zstandard
 from conftest import BASE, ROWS, WORDS, frame, taken
 from pyspark.sql import functions as F
 
-from razao.llm import chat, decontaminate, mixing, near_dup, pii, ppm, quality, quality_rules, sharding, substring_dedup
+from razao.llm.components import components
+from razao.llm import (
+    chat, decontaminate, importance, mixing, near_dup, pii, ppm, quality, quality_rules, sharding, substring_dedup, token_counts,
+)
 
 
 def lower(text):
@@ -524,3 +529,103 @@ def test_chats_survive_the_round_trip(spark):
     assert chat.format_chats(rows.limit(0)).count() == 0
     digest = hashlib.sha256(chat.PROBE_TEXT.encode()).hexdigest()
     assert len(digest) == 64
+
+
+# --- rounds, components and names
+
+
+def plain_round(labels, edges, shards, room, hashes, bins, gains):
+    """One round of label propagation over dictionaries; `hashes` give the place and the ties of the operator."""
+    of, loads = {u: s for u, _, s in labels}, [0] * shards
+    for _, size, s in labels:
+        loads[s] += size
+    near = collections.defaultdict(collections.Counter)
+    for a, b in edges:
+        near[a][of[b]] += 1
+        near[b][of[a]] += 1
+    asks, flows = {}, collections.Counter()
+    for u, size, s in labels:
+        best = max(near[u], key=lambda t: (near[u][t], -(hashes[u, t] % bins), t))
+        if hashes[u] % 2 == 0 and best != s and near[u][best] > near[u][s]:
+            asks[u] = (s, best, (gains - min(near[u][best] - near[u][s], gains)) * bins + hashes[u] % bins, size)
+            flows[s, best] += size
+    into = collections.Counter()
+    for (_, t), n in flows.items():
+        into[t] += n
+    for (s, t), n in flows.items():
+        quota = min(n, flows[t, s]) + max(0, room - loads[t]) * n / into[t]
+        mine = sorted((place, u, size) for u, (a, b, place, size) in asks.items() if (a, b) == (s, t))
+        for last in sorted({p for p, _, _ in mine}, reverse=True):
+            if sum(x for p, _, x in mine if p <= last) <= quota:
+                of.update({u: t for p, u, _ in mine if p <= last})
+                break
+    return of
+
+
+def test_a_round_of_propagation_equals_a_plain_one(spark):
+    rnd = random.Random(11)
+    shards, room = 5, 700
+    labels = [(u, rnd.randint(1, 30), rnd.randrange(shards)) for u in range(200)]
+    edges = sorted({tuple(sorted(rnd.sample(range(200), 2))) for _ in range(500)} | {(u, (u + 1) % 200) for u in range(199)})
+    table = spark.createDataFrame(labels, "uid long, size long, shard int")
+    both = spark.createDataFrame(edges + [(b, a) for a, b in edges], "node long, other long")
+    for turn in range(3):
+        hashed = table.crossJoin(spark.range(shards).select(F.col("id").cast("int").alias("to"))).select(
+            "uid", "to", F.xxhash64("uid", "to").alias("tie"), F.xxhash64("uid", F.lit(turn)).alias("place")
+        )
+        hashes = {}
+        for r in hashed.collect():
+            hashes[r.uid, r.to], hashes[r.uid] = r.tie, r.place
+        loads = sharding._loads(table, shards)
+        asking = sharding._asking(table, both, turn).cache()
+        flows = {(r.shard, r.to): r.n for r in asking.filter("to IS NOT NULL").groupBy("shard", "to").agg(F.sum("size").alias("n")).collect()}
+        moved = sharding._moved(asking, sharding._admitted(asking, sharding.quotas(flows, loads, room)))
+        want = plain_round(labels, edges, shards, room, hashes, sharding._BINS, sharding._GAINS)
+        assert {r.uid: r.shard for r in moved.collect()} == want and want != {u: s for u, _, s in labels}
+
+
+def test_components_equal_a_plain_search(spark):
+    rnd = random.Random(12)
+    chain = [(i, i + 1) for i in range(1000, 1100)]
+    edges = [tuple(rnd.sample(range(300), 2)) for _ in range(160)] + [(5, 5), (7, 8), (8, 7)] + rnd.sample(chain, len(chain))
+
+    def plain(links):
+        up = {}
+
+        def root(i):
+            while up.setdefault(i, i) != i:
+                i = up[i]
+            return i
+
+        for a, b in links:
+            low, high = sorted((root(a), root(b)))
+            up[high] = low
+        return {i: root(i) for i in up}
+
+    table = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    first = components(table(edges))
+    assert dict(map(tuple, first.collect())) == plain(edges)
+    more = [(1, 1050), (2, 9000), (9000, 9001), (1001, 1002)]
+    assert dict(map(tuple, components(table(more), start=first).collect())) == plain(edges + more)
+    assert components(table([])).count() == 0
+
+
+def test_columns_named_as_the_operators_own_come_back(spark):
+    names = (
+        "uid size source id shard slot link row text key version node component taken sid start _part _key _value _bin _here "
+        "_shard_size _shard_link _mix_size _site_host _site_path host path target n_words n_bytes known rest _no weight score "
+        "rank quality toxic kept"
+    ).split()
+    rows = [(i, f"some words of text {i % 3} " * 30, "s", *[f"{n} {i}" for n in names if n not in ("source", "text")]) for i in range(6)]
+    others = [n for n in names if n not in ("source", "text")]
+    docs = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", "source string", *[f"`{n}` string" for n in others]]))
+    made = {
+        "sharding": sharding.shard_rows(docs, sharding.row_bytes(F.col("text")), sharding.text_key(F.col("text")), 2),
+        "mixing": mixing.mix(docs)[0],
+        "quality": quality.classify(docs, np.zeros((len(quality.LABELS), 65)), F.col("source"), F.col("host")),
+        "importance": importance.draw(importance.weigh(docs, np.zeros(100, np.int64)), 50, 1),
+        "tokens": token_counts.token_counts(docs, public_tokenizers.path("word_bpe_49k.json"), runs=True),
+    }
+    want = sorted((r[0], *r[3:]) for r in rows)
+    for name, out in made.items():
+        assert sorted(map(tuple, out.select("row.doc_id", *[f"row.`{n}`" for n in others]).collect())) == want, name
