@@ -74,12 +74,9 @@ def mix(
     """Rows with `row`, `size`, `source_size`, `target`, `taken`; and the schedule (slot, source, block, epoch, tokens)."""
     spark = docs.sparkSession
     size = n_words(F.col("text")) if size is None else size
-    sized = packed(docs.withColumn("_mix_size", size)).select(
-        F.col("row").dropFields("_mix_size").alias("row"),
-        F.col("row._mix_size").alias("size"),
-        F.col(f"row.{source}").alias("source"),
-        F.col(f"row.{id_}").alias("id"),
-    )
+    uid = F.monotonically_increasing_id()  # fixed by being written; only narrow rows are ordered below
+    rows = stored(packed(docs, uid=uid, size=size, source=F.col(f"`{source}`"), id=F.col(f"`{id_}`")), "mix-rows")
+    sized = rows.select("uid", "size", "source", "id")
     sources = targets(
         sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows")).drop("_rows"),
         weights,
@@ -101,7 +98,7 @@ def mix(
     shuffled = F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")))
     at = F.conv(F.substring(shuffled, 1, 8), 16, 10).cast("long")
     known = sized.join(plan.select("source", "sid", "source_size", "target"), sized["source"].eqNullSafe(plan["source"]))
-    keyed = known.select("row", "size", "id", "sid", "source_size", "target", shuffled.alias("_key")).withColumn(
+    keyed = known.select("uid", "size", "id", "sid", "source_size", "target", shuffled.alias("_key")).withColumn(
         "_part", F.floor(at * bins / (1 << 32))
     )
     placed = running_total(keyed, ["sid"], "_part", [F.col("_key"), F.col("id"), F.col("size")], F.col("size"), "start")
@@ -131,9 +128,9 @@ def mix(
     # Rows of size 0 share their start with a neighbour; a key of their own keeps them out of the join.
     left = placed.withColumn("_at", F.when(F.col("size") > 0, F.col("start")))
     out = left.join(taken.withColumnRenamed("start", "_at"), ["sid", "_at"], "left").select(
-        "row", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
+        "uid", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
     )
-    return out, schedule
+    return rows.select("uid", "row").join(out, "uid").drop("uid"), schedule
 
 
 def _schedule(spark: SparkSession, plan: DataFrame, block: int) -> DataFrame:

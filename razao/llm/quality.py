@@ -210,16 +210,12 @@ def site_posteriors(scored: DataFrame, label: str) -> tuple[DataFrame, float]:
 
 def classify(docs: DataFrame, weights: np.ndarray, host: Column, path: Column, text: str = "text") -> DataFrame:
     """`row` (the input without the text), `quality` and `toxic` (probabilities) and `kept` of every row."""
-    narrow = packed(docs.withColumns({"_site_host": host, "_site_path": path})).select(
-        F.col("row").dropFields(text).alias("row"), F.col(f"row.`{text}`").alias("text")
-    )
+    site = F.struct(F.col("row").dropFields(f"`{text}`").alias("row"), "host", "path")
+    narrow = packed(docs, host=host, path=path, text=F.col(f"`{text}`")).select(site.alias("row"), "text")
     kind = narrow.schema["row"].dataType.simpleString()
     odds = narrow.mapInArrow(_evidence(weights), f"row {kind}, " + ", ".join(f"{x} double" for x in LABELS))
     scored = stored(
-        odds.select(
-            F.col("row").dropFields("_site_host", "_site_path").alias("row"),
-            F.col("row._site_host").alias("host"), F.col("row._site_path").alias("path"), *LABELS,
-        ),
+        odds.select("row.row", "row.host", "row.path", *LABELS),
         "evidence",
     )
     out = scored
