@@ -72,7 +72,6 @@ STATEMENT_DATE_FORMAT = "dd/MM/yyyy"
 # Messages of file-level errors.
 UNKNOWN_FORMAT_MESSAGE = "formato não reconhecido (esperado Inter ou Nubank CSV)"
 NO_TRANSACTIONS_MESSAGE = "nenhuma transação encontrada no arquivo"
-HEADER_NOT_FOUND_MESSAGE = "Cabeçalho não encontrado no arquivo"
 ALREADY_IMPORTED_MESSAGE = "já foi importado"
 
 # Money.

@@ -20,13 +20,13 @@ def first_per_key(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     return rows.groupBy(key).agg(first).select(key, "_first.*").select(*rows.columns)
 
 
-def stored_keys(keys: DataFrame, stored: DataFrame, key: str) -> DataFrame:
+def stored_keys(keys: DataFrame, stored: DataFrame, key: str, work: str | None = None) -> DataFrame:
     """Those of `keys` (distinct) that occur in `stored`.
 
     The keys are written first, so Spark knows their bytes: a small batch is broadcast to the
     scan of the stored table, which is then not shuffled; a large one takes a shuffle join.
     """
-    keys = materialize(keys.select(key), "keys")
+    keys = materialize(keys.select(key), "keys", work)
     return stored.select(key).join(keys, key, "left_semi").distinct()
 
 
@@ -38,24 +38,26 @@ def new_rows(
 
 
 def split_rows(
-    rows: DataFrame, stored: DataFrame | None, key: str = "id", order: list[str] | None = None
+    rows: DataFrame, stored: DataFrame | None, key: str = "id", order: list[str] | None = None,
+    work: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Accepted rows and blocked rows: copies inside the batch, and rows stored before.
 
     Keys are counted by a hash aggregate of narrow rows. Only rows of keys with copies go
     through the aggregate that picks the first one; all others are not shuffled as long as
     the keys with copies are few. `rows` is read several times: pass a written table.
+    `work` is the folder for intermediate tables; the caller removes it when the results are written.
     """
     order = order or ["file_path", "record_index"]
-    counts = materialize(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_copies")), "key-counts")
-    copied = materialize(counts.filter("_copies > 1").select(key), "copied-keys")
+    counts = materialize(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_copies")), "key-counts", work)
+    copied = materialize(counts.filter("_copies > 1").select(key), "copied-keys", work)
     again = rows.join(copied, key, "left_semi")
     first = first_per_key(again, key, order)
     accepted = rows.join(copied, key, "left_anti").unionByName(first)
     later = again.join(first.select(key, *order).withColumn("_first", F.lit(True)), [key, *order], "left_anti")
     if stored is None:
         return accepted, later.select(*rows.columns)
-    known = materialize(stored_keys(counts, stored, key), "known-keys")
+    known = materialize(stored_keys(counts, stored, key, work), "known-keys", work)
     blocked = later.select(*rows.columns).unionByName(accepted.join(known, key, "left_semi").select(*rows.columns))
     return accepted.join(known, key, "left_anti"), blocked
 
@@ -84,11 +86,11 @@ def file_summary(rows: DataFrame) -> DataFrame:
     )
 
 
-def new_files(files: DataFrame, stored_hashes: DataFrame | None) -> DataFrame:
+def new_files(files: DataFrame, stored_hashes: DataFrame | None, work: str | None = None) -> DataFrame:
     """Mark files whose content is stored, or came earlier in the batch, as `repeated`."""
     first = files.groupBy("file_hash").agg(F.min("file_path").alias("file_path"))
     if stored_hashes is not None:
-        known = stored_keys(first.select("file_hash"), stored_hashes, "file_hash")
+        known = stored_keys(first.select("file_hash"), stored_hashes, "file_hash", work)
         first = first.join(known, "file_hash", "left_anti")
     kept = first.select("file_path", F.lit(False).alias("repeated"))
     return files.join(kept, "file_path", "left").fillna(True, ["repeated"])

@@ -52,20 +52,27 @@ def _in_out(prefix: str = "") -> str:
       CAST(coalesce(sum(units) FILTER (direction = 'out'), 0) AS BIGINT) AS out_units{prefix}"""
 
 
-IMPORTED = f"""WITH i AS (
+IMPORTED = """WITH e AS (
+  SELECT CAST(ts AS DATE) AS date, CAST(round(value * 100) AS BIGINT)
+    * CASE WHEN event_type IN ('signup', 'purchase') THEN 1 ELSE -1 END AS signed FROM events),
+i AS (
   SELECT CAST(o_orderdate AS DATE) AS date, 'inter' AS source,
     CASE WHEN o_orderstatus = 'F' THEN 'in' ELSE 'out' END AS direction,
     CAST(round(o_totalprice * 100) AS BIGINT) AS units FROM orders
   UNION ALL
-  SELECT CAST(ts AS DATE), 'nubank',
-    CASE WHEN event_type IN ('signup', 'purchase') THEN 'in' ELSE 'out' END,
-    CAST(round(value * 100) AS BIGINT) FROM events WHERE round(value * 100) > 0)
+  SELECT date, 'nubank', CASE WHEN signed < 0 THEN 'out' ELSE 'in' END, abs(signed) FROM e WHERE signed IS NOT NULL)
 """
 
 IMPORTED_MONTHLY = IMPORTED + f"""
 SELECT {MONTH} AS month, source, direction, count(*) AS transactions,
   CAST(sum(units) AS BIGINT) AS units
-FROM i GROUP BY 1, 2, 3"""
+FROM i WHERE units > 0 GROUP BY 1, 2, 3"""
+
+OFFERED_TWICE = IMPORTED + """
+SELECT source, status, count(*) AS offered,
+  count(*) FILTER (status = 'ok' AND units > 0) AS accepted, CAST(0 AS BIGINT) AS duplicates,
+  count(*) FILTER (status = 'err' OR units = 0) AS rejected
+FROM i, (VALUES ('ok'), ('err')) AS s(status) GROUP BY 1, 2"""
 
 RANKING = L + f"""
 SELECT *, CAST(dense_rank() OVER (ORDER BY volume_units DESC) AS INTEGER) AS rank FROM (
@@ -79,6 +86,12 @@ BALANCES = """WITH b AS (
     CAST(round(c_acctbal * 100) AS BIGINT) AS units FROM customer)
 """
 
+AFRICA_GONE = L + """
+SELECT CAST(c_nationkey AS VARCHAR) AS nation, count(*) AS transactions,
+  CAST(sum(units) AS BIGINT) AS units{more}
+FROM l JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+WHERE r_name <> 'AFRICA' GROUP BY 1"""
+
 ORACLES: dict[str, str] = {
     "summary_cards": L + f"""
 SELECT count(*) AS transactions, CAST(sum(units) AS BIGINT) AS volume_units, {_in_out()},
@@ -211,8 +224,8 @@ SELECT CAST(doc_id AS VARCHAR) AS file_path,
 FROM c""",
     "file_preview": r"""
 WITH lines AS (
-  SELECT doc_id, unnest(string_split(replace(replace(text, chr(13), ''), '"', ''''), chr(10))) AS line,
-    generate_subscripts(string_split(replace(replace(text, chr(13), ''), '"', ''''), chr(10)), 1) AS n
+  SELECT doc_id, unnest(string_split(replace(text, chr(13), ''), chr(10))) AS line,
+    generate_subscripts(string_split(replace(text, chr(13), ''), chr(10)), 1) AS n
   FROM documents),
 kept AS (
   SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS record_index
@@ -292,18 +305,61 @@ FROM g WHERE k <> '' GROUP BY 1, 2 HAVING count(*) >= 3""",
     "import_statements": IMPORTED_MONTHLY,
     "import_large_files": IMPORTED_MONTHLY,
     "import_stream": IMPORTED_MONTHLY,
-    "import_across_sizes": IMPORTED + """
-SELECT source, status, count(*) AS offered,
-  CAST(sum(CASE status WHEN 'ok' THEN 1 ELSE 0 END) AS BIGINT) AS accepted, CAST(0 AS BIGINT) AS duplicates
-FROM i, (VALUES ('ok'), ('err')) AS s(status) GROUP BY 1, 2""",
-    "import_again": IMPORTED + """
-SELECT source, 2 * count(*) AS offered, count(*) AS accepted, CAST(0 AS BIGINT) AS duplicates
-FROM i GROUP BY 1""",
-    "cascade_delete": L + """
-SELECT CAST(c_nationkey AS VARCHAR) AS nation, count(*) AS transactions,
-  CAST(sum(units) AS BIGINT) AS units
-FROM l JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
-WHERE r_name <> 'AFRICA' GROUP BY 1""",
+    "import_across_sizes": OFFERED_TWICE,
+    "import_again": OFFERED_TWICE,
+    "import_defects": """
+WITH e AS (
+  SELECT event_type AS file, event_type = 'view' AS short, event_type = 'click' OR value IS NULL AS blank,
+    round(value * 100) <> 0 AS counts FROM events),
+n AS (
+  SELECT file, count(*) AS lines, count(*) FILTER (short OR blank) AS flawed,
+    count(*) FILTER (NOT short AND NOT blank) AS total, count(*) FILTER (NOT short AND NOT blank AND counts) AS new
+  FROM e GROUP BY 1
+  UNION ALL
+  SELECT o_orderstatus, count(*), count(*) FILTER (o_orderstatus <> 'F'), count(*) FILTER (o_orderstatus = 'F'),
+    count(*) FILTER (o_orderstatus = 'F') FROM orders GROUP BY 1),
+d AS (
+  SELECT file, CASE file WHEN 'view' THEN 'too_few_cells' WHEN 'click' THEN 'cell_empty'
+      WHEN 'O' THEN 'amount_not_a_number' WHEN 'P' THEN 'date_blank' END AS defect, flawed AS n, lines - 1 AS last
+  FROM n WHERE file IN ('view', 'click', 'O', 'P')
+  UNION ALL SELECT 'error', 'too_few_cells', 1, lines FROM n WHERE file = 'error'
+  UNION ALL SELECT 'error', 'MissingQuotes', 1, NULL)
+SELECT n.file, total AS total_count, new AS new_count,
+  coalesce((SELECT sum(n) FROM d WHERE d.file = n.file), 0)::BIGINT AS defect_count,
+  CASE WHEN total = 0 THEN 'nenhuma transação encontrada no arquivo' END AS error, defect,
+  d.n::BIGINT AS lines, last::BIGINT AS last_record
+FROM n LEFT JOIN d ON d.file = n.file""",
+    "own_transfers_view": L + """
+SELECT date AS data, description AS descricao, false AS propria, units AS amount_in_units FROM l
+WHERE NOT starts_with(description, '5-LOW')""",
+    "detect_header_lines": r"""
+SELECT CAST(doc_id AS VARCHAR) AS file_path,
+  CASE lang WHEN 'en' THEN 'nubank' WHEN 'fr' THEN 'inter' WHEN 'de' THEN 'nubank' ELSE 'unknown' END AS source_type,
+  CAST(CASE lang WHEN 'fr' THEN 2 + length(text) - length(replace(text, chr(10), '')) ELSE 0 END AS BIGINT) AS header_line,
+  CASE WHEN lang NOT IN ('en', 'fr', 'de') THEN 'formato não reconhecido (esperado Inter ou Nubank CSV)' END AS file_error
+FROM documents""",
+    "byte_order_marks": "SELECT doc_id, sha256(replace(text, chr(13), '')) AS hash FROM documents",
+    "blank_files": r"""
+SELECT doc_id, NOT regexp_matches(
+  CASE lang WHEN 'en' THEN regexp_replace(text, '[\x{21}-\x{24F}]', ' ', 'g') ELSE text END,
+  '[^\s\x{0B}\x{00A0}\x{FEFF}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]') AS is_empty
+FROM documents""",
+    "direction_guard": """
+SELECT event_type AS file_path, count(*) AS rows, CASE WHEN round(value * 100) = 0 THEN 'amount_zero'
+  WHEN event_type IN ('view', 'click') THEN 'direction_invalid' WHEN event_type = 'signup' THEN 'amount_sign_conflict' END AS error
+FROM events GROUP BY 1, 3""",
+    "replayed_batch": AFRICA_GONE.format(more=""),
+    "packed_ledger": AFRICA_GONE.format(more=", CAST(1 AS BIGINT) AS folders"),
+    "cleared_ledger": L + """
+SELECT CAST(c_nationkey AS VARCHAR) AS nation, count(*) AS transactions, CAST(sum(units) AS BIGINT) AS units,
+  CAST(0 AS BIGINT) AS rows_when_cleared FROM l GROUP BY 1""",
+    "ledger_of_days": L + """
+SELECT date, count(*) AS transactions, CAST(sum(units) AS BIGINT) AS units FROM l
+WHERE date IN (SELECT CAST(o_orderdate AS DATE) FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT')
+GROUP BY 1""",
+    "rows_of_file": L + """
+SELECT rid AS source_row_id, date, units AS amount_in_units, direction FROM l WHERE c_nationkey = 7""",
+    "cascade_delete": AFRICA_GONE.format(more=""),
     "export_roundtrip": L + """
 SELECT description, format('{}.{:02d}', units // 100, units % 100) AS amount, direction,
   counterparty, 'BRL' AS currency FROM l""",

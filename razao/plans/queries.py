@@ -63,6 +63,16 @@ def filtered_view(spark, sf_dir):
     return view.drop("amount_in_units").withColumn("valor", col("valor").cast("double"))
 
 
+def own_transfers_view(spark, sf_dir):
+    """Orders of low priority as transfers between own accounts; the table without them."""
+    own = F.when(
+        col("description").startswith("5-LOW"), F.concat(F.lit("Transferência entre contas "), "description")
+    ).otherwise(col("description"))
+    rows = normalize(sample.orders_staging(spark, sf_dir).withColumn("description", own))
+    view = views.filter_view(views.transaction_view(rows.filter(col("error").isNull())), own=False)
+    return view.select("data", "descricao", "propria", "amount_in_units")
+
+
 def filtered_totals(spark, sf_dir):
     view = views.filter_view(
         views.transaction_view(orders_ledger(spark, sf_dir)), kind="entrada", search="customer#0000"
@@ -344,14 +354,50 @@ def detect_dialect(spark, sf_dir):
     )
 
 
+def detect_header_lines(spark, sf_dir):
+    """Dialect and first line of the table of files made of documents.
+
+    English: a Nubank table whose last row says "data lançamento". French: the document as the preamble
+    of an Inter table, which also names an identifier. German: marks in prose alone. Spanish: none.
+    """
+    movement = "\nData Lançamento;Histórico;Descrição;Valor\n01/01/2024;Pix;Ana;1,00"
+    marked = (
+        F.when(col("lang") == "en", F.concat(
+            F.lit("Data,Valor,Identificador,Descrição\n"), F.regexp_replace("text", "[,;\t]", " "),
+            F.lit("\n02/01/2024,-9.00,id-1,data lançamento")))
+        .when(col("lang") == "fr", F.concat(F.lit("Identificador;77\n"), "text", F.lit(movement)))
+        .when(col("lang") == "de", F.concat("text", F.lit("\no identificador da conta")))
+        .otherwise(col("text"))
+    )
+    files = _document_files(spark, sf_dir).withColumn("text", marked)
+    return source_files.with_header(files.drop("source", "lang")).select(
+        "file_path", F.coalesce("source", F.lit("unknown")).alias("source_type"), "header_line", "file_error"
+    )
+
+
+def byte_order_marks(spark, sf_dir):
+    """Documents with a byte-order mark and carriage returns as a spreadsheet writes them, cleaned."""
+    written = F.concat(F.lit("\ufeff"), F.replace("text", F.lit("\n"), F.lit("\r\n")))
+    return wide_table(spark, sf_dir, "documents").select("doc_id", F.sha2(csv.clean_text(written), 256).alias("hash"))
+
+
+def blank_files(spark, sf_dir):
+    """Which documents hold no record at all, once English ones have lost their letters."""
+    spaced = F.when(col("lang") == "en", F.translate("text", "".join(map(chr, range(33, 0x250))), " ")).otherwise(col("text"))
+    return wide_table(spark, sf_dir, "documents").select("doc_id", csv.is_empty(spaced).alias("is_empty"))
+
+
 def file_preview(spark, sf_dir):
-    """The first three records of every document read as a file with tab-separated cells."""
+    """The first three records of every document read as a file with tab-separated cells.
+
+    A quote that does not begin a cell is an ordinary character.
+    """
     template = ImportTemplate(
         id="doc", name="doc", delimiter="\t", date_column="d", description_column="t",
         amount_column="a",
     )
     files = _document_files(spark, sf_dir).withColumn(
-        "text", F.concat(F.lit("linha\n"), F.replace("text", F.lit('"'), F.lit("'")))
+        "text", F.concat(F.lit("linha\n"), "text")
     ).drop("source", "lang")
     first = source_files.preview(source_files.file_records(files, template), 3)
     return first.select(
@@ -429,6 +475,18 @@ def row_errors(spark, sf_dir):
     )
 
 
+def direction_guard(spark, sf_dir):
+    """Events that name their direction, rightly or not, by what is wrong with them."""
+    named = (
+        F.when(col("file_path") == "view", "sideways").when(col("file_path") == "click", "IN")
+        .otherwise(col("direction"))
+    )
+    minus = F.when(col("file_path") == "signup", F.concat(F.lit("-"), "amount_raw")).otherwise(col("amount_raw"))
+    staging = sample.events_staging(spark, sf_dir).withColumns({"direction": named, "amount_raw": minus})
+    rows = normalize(staging, date_format=None)
+    return rows.groupBy("file_path", "error").agg(F.count(F.lit(1)).alias("rows"))
+
+
 def occurrence_identity(spark, sf_dir):
     """Events of one type on one day are equal rows but for their amount's full units; each
     gets its rank among equals."""
@@ -499,7 +557,9 @@ def _imported(spark: SparkSession, sf_dir: str) -> LedgerStore:
     inbox = f"{store.root}-inbox"
     sample.write_inter_statements(spark, sf_dir, f"{inbox}/inter", ROWS_PER_FILE)
     sample.write_nubank_statements(spark, sf_dir, f"{inbox}/nubank", ROWS_PER_FILE)
-    import_batch(spark, store, [f"{inbox}/inter", f"{inbox}/nubank"], batch_id="first")
+    import_batch(
+        spark, store, [f"{inbox}/inter", f"{inbox}/nubank"], batch_id="first", on_error="quarantine"
+    )
     return store
 
 
@@ -508,16 +568,26 @@ def import_statements(spark, sf_dir):
     return _monthly(_imported(spark, sf_dir).ledger())
 
 
+def _offered(*reports: DataFrame) -> DataFrame:
+    """Reports summed by source and by whether the file was taken."""
+    every = reports[0]
+    for report in reports[1:]:
+        every = every.unionByName(report)
+    taken = F.when(col("status") == "err", "err").otherwise("ok").alias("status")
+    return every.groupBy("source", taken).agg(
+        F.sum("total_count").alias("offered"), F.sum("new_count").alias("accepted"),
+        F.sum("duplicate_count").alias("duplicates"), F.sum("rejected_count").alias("rejected"),
+    )
+
+
 def import_again(spark, sf_dir):
     """The same files offered twice: all are refused, the ledger stays the same."""
     store = _imported(spark, sf_dir)
     inbox = f"{store.root}-inbox"
-    again = import_batch(spark, store, [f"{inbox}/inter", f"{inbox}/nubank"], batch_id="second")
-    first = store.report("first")
-    return first.unionByName(again).groupBy("source").agg(
-        F.sum("total_count").alias("offered"), F.sum("new_count").alias("accepted"),
-        F.sum("duplicate_count").alias("duplicates"),
+    again = import_batch(
+        spark, store, [f"{inbox}/inter", f"{inbox}/nubank"], batch_id="second", on_error="quarantine"
     )
+    return _offered(store.report("first"), again)
 
 
 def blocked_rows(spark, sf_dir):
@@ -538,27 +608,49 @@ def import_across_sizes(spark, sf_dir):
     store = _imported(spark, sf_dir)
     inbox = f"{store.root}-inbox"
     again = import_batch(
-        spark, store, [f"{inbox}/inter", f"{inbox}/nubank"], batch_id="lines", whole_file_bytes=0
-    )
-    first = store.report("first")
-    return first.unionByName(again).groupBy("source", "status").agg(
-        F.sum("total_count").alias("offered"), F.sum("new_count").alias("accepted"),
-        F.sum("duplicate_count").alias("duplicates"),
+        spark, store, [f"{inbox}/inter", f"{inbox}/nubank"], batch_id="lines", whole_file_bytes=0,
+        on_error="quarantine",
     )
+    return _offered(store.report("first"), again)
 
 
 def import_large_files(spark, sf_dir):
-    """The statement files read line by line, as files beyond the whole-file bound are."""
+    """The statement files read line by line in small splits, as files beyond the whole-file bound are.
+
+    Quoted line breaks cross the splits.
+    """
     store = _new_store(spark)
     inbox = f"{store.root}-inbox"
     sample.write_inter_statements(spark, sf_dir, f"{inbox}/inter", 0)
     sample.write_nubank_statements(spark, sf_dir, f"{inbox}/nubank", 0)
-    import_batch(
-        spark, store, [f"{inbox}/inter", f"{inbox}/nubank"], batch_id="large", whole_file_bytes=0
-    )
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256k")
+    try:
+        import_batch(
+            spark, store, [f"{inbox}/inter", f"{inbox}/nubank"], batch_id="large", whole_file_bytes=0,
+            on_error="quarantine",
+        )
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     return _monthly(store.ledger())
 
 
+def import_defects(spark, sf_dir):
+    """Lines that are no transactions and files that end inside quotes, by file, and what was imported."""
+    store = _new_store(spark)
+    inbox = f"{store.root}-inbox"
+    sample.write_flawed_statements(spark, sf_dir, inbox)
+    report = import_batch(
+        spark, store, [f"{inbox}/nubank", f"{inbox}/inter"], batch_id="flawed", on_error="quarantine"
+    )
+    name = F.regexp_extract("file_path", "file=([^/]+)", 1).alias("file")
+    flaws = store.defects("flawed").groupBy(name, "defect").agg(
+        F.count(F.lit(1)).alias("lines"), F.max("record_index").alias("last_record")
+    )
+    files = report.select(name, "total_count", "new_count", "defect_count", "error")
+    return files.join(flaws, "file", "left")
+
+
 def import_stream(spark, sf_dir):
     """The statement files imported as a stream of arrivals, three files at a time."""
     store = _new_store(spark)
@@ -566,22 +658,25 @@ def import_stream(spark, sf_dir):
     sample.write_inter_statements(spark, sf_dir, f"{inbox}/inter", ROWS_PER_FILE)
     sample.write_nubank_statements(spark, sf_dir, f"{inbox}/nubank", ROWS_PER_FILE)
     stream = follow_folder(
-        spark, store, inbox, f"{store.root}-checkpoint", files_per_trigger=3, once=True
+        spark, store, inbox, f"{store.root}-checkpoint", files_per_trigger=3, once=True, on_error="quarantine"
     )
     stream.awaitTermination()
     return _monthly(store.ledger())
 
 
-def cascade_delete(spark, sf_dir):
-    """The orders ledger stored as one file per nation, the nations of AFRICA deleted."""
-    store = _new_store(spark)
-    staging = sample.orders_staging(spark, sf_dir).withColumn("file_hash", col("file_path"))
-    import_staged(store, staging, batch_id="orders")
-    nations = table(spark, sf_dir, "nation").join(
-        table(spark, sf_dir, "region").filter(col("r_name") == "AFRICA"),
+def _orders_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sample.orders_staging(spark, sf_dir).withColumn("file_hash", col("file_path"))
+
+
+def _delete_africa(store: LedgerStore, sf_dir: str) -> None:
+    nations = table(store.spark, sf_dir, "nation").join(
+        table(store.spark, sf_dir, "region").filter(col("r_name") == "AFRICA"),
         col("n_regionkey") == col("r_regionkey"),
     ).select(col("n_nationkey").cast("string").alias("name"))
     store.delete_files(store.files().join(nations, "name", "left_semi").select("id"))
+
+
+def _by_nation(store: LedgerStore) -> DataFrame:
     names = store.files().select(col("id").alias("file_id"), col("name").alias("nation"))
     ledger = store.ledger().join(names, ["file_id"], "inner")
     return ledger.groupBy("nation").agg(
@@ -589,6 +684,77 @@ def cascade_delete(spark, sf_dir):
     )
 
 
+def cascade_delete(spark, sf_dir):
+    """The orders ledger stored as one file per nation, the nations of AFRICA deleted."""
+    store = _new_store(spark)
+    import_staged(store, _orders_by_nation(spark, sf_dir), batch_id="orders")
+    _delete_africa(store, sf_dir)
+    return _by_nation(store)
+
+
+def replayed_batch(spark, sf_dir):
+    """A batch replayed after files of it were deleted, after its rows were moved, and by a new process."""
+    store = _new_store(spark)
+    staging = _orders_by_nation(spark, sf_dir)
+    import_staged(store, staging, batch_id="orders")
+    _delete_africa(store, sf_dir)
+    import_staged(store, staging, batch_id="orders")
+    store.compact()
+    import_staged(store, staging, batch_id="orders")
+    restarted = LedgerStore(spark, store.root)
+    import_staged(restarted, staging, batch_id="orders")
+    return _by_nation(restarted)
+
+
+def packed_ledger(spark, sf_dir):
+    """Orders imported in batches by status, AFRICA deleted, packed into one folder and swept; the folders left."""
+    store = _new_store(spark)
+    staging = _orders_by_nation(spark, sf_dir)
+    for status, of in (("F", "in"), ("other", "out")):  # an order's status tells its direction
+        part = staging.filter(col("direction") == of).withColumns({
+            "file_hash": F.concat_ws("-", F.lit(status), "file_path"),
+        })
+        import_staged(store, part, batch_id=status)
+    _delete_africa(store, sf_dir)
+    store.compact()
+    store.sweep(keep_versions=1, older_than_seconds=0)
+    folders = spark.read.parquet(f"{store.root}/transactions").select(F.countDistinct("folder").alias("folders"))
+    return _by_nation(store).crossJoin(F.broadcast(folders))  # one row
+
+
+def ledger_of_days(spark, sf_dir):
+    """All stored orders of the days on which an urgent order was placed that is shipped in part."""
+    store = _new_store(spark)
+    import_staged(store, _orders_by_nation(spark, sf_dir), batch_id="orders")
+    days = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P' AND o_orderpriority = '1-URGENT'").select(
+        F.to_date("o_orderdate").alias("date")
+    ).distinct()
+    rows = store.rows_of_days(days, store.new_staging("days")).join(days, "date", "left_semi")
+    return rows.groupBy("date").agg(
+        F.count(F.lit(1)).alias("transactions"), F.sum("amount_in_units").alias("units")
+    )
+
+
+def rows_of_file(spark, sf_dir):
+    """The stored rows of the file with one nation's content, found by its hash, then by its id."""
+    store = _new_store(spark)
+    import_staged(store, _orders_by_nation(spark, sf_dir), batch_id="orders")
+    found = store.file_by_hash("7").first()
+    rows = store.transactions_of_file(found.id if found else "")
+    return rows.select("source_row_id", "date", "amount_in_units", "direction")
+
+
+def cleared_ledger(spark, sf_dir):
+    """A store that is cleared and given the orders again as a new batch."""
+    store = _new_store(spark)
+    staging = _orders_by_nation(spark, sf_dir)
+    import_staged(store, staging, batch_id="orders")
+    store.clear_all()
+    gone = store.ledger().count()
+    import_staged(store, staging, batch_id="orders again")
+    return _by_nation(store).withColumn("rows_when_cleared", F.lit(gone).cast("bigint"))
+
+
 def export_roundtrip(spark, sf_dir):
     """The orders ledger exported as CSV and read back."""
     store = _new_store(spark)
@@ -603,15 +769,16 @@ def export_roundtrip(spark, sf_dir):
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        summary_cards, monthly_totals, filtered_view, filtered_totals, table_page,
+        summary_cards, monthly_totals, filtered_view, own_transfers_view, filtered_totals, table_page,
         table_page_by_date, table_page_after, newest_first, file_overview, currency_totals,
         money_display, money_parse_formats, date_parse_formats, event_days, identity_texts,
         cluster_keys, text_safety, counterparty_keys, own_transfer_flag, row_identity,
         row_identity_fnv, inter_line_roundtrip, nubank_line_roundtrip, generic_line_roundtrip,
-        detect_dialect, file_preview, encoding_fallback, dedup_reimport, file_hash_guard,
-        reject_file_on_error, row_errors, occurrence_identity, suspected_duplicates, suspected_rows, monthly_rollup,
+        detect_dialect, detect_header_lines, byte_order_marks, blank_files, file_preview, encoding_fallback,
+        dedup_reimport, file_hash_guard, reject_file_on_error, row_errors, direction_guard, occurrence_identity, suspected_duplicates, suspected_rows, monthly_rollup,
         counterparty_ranking, counterparty_ranking_by_ranges, spending_clusters,
-        recurring_patterns, import_statements, import_again, import_across_sizes, blocked_rows, import_large_files, import_stream, cascade_delete,
-        export_roundtrip,
+        recurring_patterns, import_statements, import_again, import_across_sizes, blocked_rows, import_large_files,
+        import_defects, import_stream, cascade_delete, replayed_batch, packed_ledger, ledger_of_days, rows_of_file,
+        cleared_ledger, export_roundtrip,
     )
 }

@@ -142,15 +142,14 @@ def write_inter_statements(spark: SparkSession, sf_dir: str, path: str, rows_per
 def write_nubank_statements(
     spark: SparkSession, sf_dir: str, path: str, rows_per_file: int
 ) -> None:
-    """Events with a value as Nubank statements, with quoted separators and quotes."""
+    """All events as Nubank statements, with quoted separators, quotes and line breaks."""
     signed = F.when(event_direction() == "in", F.col("value")).otherwise(-F.col("value"))
     text = F.concat(
-        F.lit('Transferência "'), F.col("event_type"), F.lit('", evento '),
+        F.lit('Transferência "'), F.col("event_type"), F.lit('",\nevento '),
         F.col("event_id").cast("string"),
     )
     (
         wide_table(spark, sf_dir, "events")
-        .filter(F.round(F.col("value") * 100) > 0)
         .select(
             F.date_format("ts", "dd/MM/yyyy").alias("Data"),
             plain(signed).alias("Valor"),
@@ -161,3 +160,44 @@ def write_nubank_statements(
         .option("maxRecordsPerFile", rows_per_file)
         .csv(path)
     )
+
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    """Lines (file, number, line) as one text file for each `file`, in the order of the numbers."""
+    placed = lines.repartition("file").sortWithinPartitions("file", "number")
+    placed.select("file", "line").write.partitionBy("file").text(path)
+
+
+def write_flawed_statements(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """Events by type and orders by status as statements whose lines are not all transactions.
+
+    Views have three cells, clicks no amount, and the errors end inside quotes; orders that are open
+    have a text for an amount, those in part no date.
+    """
+
+    def file_of(header: str, rows: DataFrame, last: DataFrame) -> DataFrame:
+        files = rows.select("file").distinct()
+        head = files.select("file", F.lit(-1).cast("bigint").alias("number"), F.lit(header).alias("line"))
+        return head.unionByName(rows).unionByName(last)
+
+    type_, id_ = F.col("event_type"), F.col("event_id").cast("string")
+    amount = F.when(type_ == "click", "").otherwise(plain(F.col("value")))
+    cells = F.concat_ws(",", F.date_format("ts", "dd/MM/yyyy"), amount, F.concat(F.lit("id-"), id_))
+    line = F.when(type_ == "view", cells).otherwise(F.concat(cells, F.lit(",Compra "), id_))
+    events = wide_table(spark, sf_dir, "events").select(
+        type_.alias("file"), F.col("event_id").cast("bigint").alias("number"), line.alias("line")
+    )
+    open_quote = events.filter("file = 'error'").groupBy("file").agg((F.max("number") + 1).alias("number")).withColumn(
+        "line", F.lit('"aberta')
+    )
+    write_lines(file_of("Data,Valor,Identificador,Descrição", events, open_quote), f"{path}/nubank")
+
+    status = F.col("o_orderstatus")
+    cells = F.concat_ws(
+        ";", F.when(status == "P", " ").otherwise(F.date_format("o_orderdate", "dd/MM/yyyy")), F.lit("Pix"),
+        order_description(), F.when(status == "O", "a combinar").otherwise(brazilian(F.col("o_totalprice"))),
+    )
+    orders = wide_table(spark, sf_dir, "orders").select(
+        status.alias("file"), F.col("o_orderkey").cast("bigint").alias("number"), cells.alias("line")
+    )
+    write_lines(file_of("Data Lançamento;Histórico;Descrição;Valor", orders, orders.limit(0)), f"{path}/inter")

@@ -12,7 +12,7 @@ RAW = T.StructType([
     T.StructField("arquivo_fonte", T.StringType()),
 ])
 
-# One statement row before normalization, with the facts of its file.
+# One statement row before normalization, with the facts of its file. Rows with a defect are no transactions.
 STAGING = T.StructType([
     T.StructField("file_path", T.StringType()),
     T.StructField("file_name", T.StringType()),
@@ -30,6 +30,7 @@ STAGING = T.StructType([
     T.StructField("category", T.StringType()),
     T.StructField("tags", T.ArrayType(T.StringType())),
     T.StructField("raw", RAW),
+    T.StructField("defect", T.StringType()),
 ])
 
 TRANSACTIONS = T.StructType([
@@ -55,7 +56,8 @@ TRANSACTIONS = T.StructType([
     T.StructField("raw", RAW),
 ])
 
-# One imported file; a version of this table is the ledger's list of visible rows.
+# One imported file; a version of this table is the ledger's list of visible rows. `folder` is where its rows
+# are now, `batch_id` the import that brought them.
 FILES = T.StructType([
     T.StructField("id", T.StringType()),
     T.StructField("name", T.StringType()),
@@ -68,9 +70,19 @@ FILES = T.StructType([
     T.StructField("template_id", T.StringType()),
     T.StructField("notes", T.StringType()),
     T.StructField("batch_id", T.StringType()),
+    T.StructField("folder", T.StringType()),
     T.StructField("deleted", T.BooleanType()),
 ])
 
+# One zone of stored rows: the days it spans.
+ZONES = T.StructType([
+    T.StructField("folder", T.StringType()),
+    T.StructField("zone", T.StringType()),
+    T.StructField("first_day", T.DateType()),
+    T.StructField("last_day", T.DateType()),
+    T.StructField("rows", T.LongType()),
+])
+
 REPORT = T.StructType([
     T.StructField("file_path", T.StringType()),
     T.StructField("file_name", T.StringType()),
@@ -83,6 +95,16 @@ REPORT = T.StructType([
     T.StructField("new_count", T.LongType()),
     T.StructField("duplicate_count", T.LongType()),
     T.StructField("rejected_count", T.LongType()),
+    T.StructField("defect_count", T.LongType()),
+])
+
+# What is wrong with a file or one of its records, although the file was read.
+DEFECTS = T.StructType([
+    T.StructField("file_path", T.StringType()),
+    T.StructField("file_name", T.StringType()),
+    T.StructField("defect", T.StringType()),
+    T.StructField("record_index", T.LongType()),
+    T.StructField("text", T.StringType()),
 ])
 
 

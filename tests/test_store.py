@@ -1,0 +1,221 @@
+"""The store's log of deltas, its journal of batches, its zones, packing and sweeping, and defects of imports."""
+
+import datetime as dt
+import os
+
+import pytest
+from pyspark.sql import functions as F
+from test_import import NUBANK, counts, inbox, staged, store  # noqa: F401
+
+from razao.plans.importer import import_batch, import_staged
+from razao.schema import FILES, TRANSACTIONS
+from razao.sources import store as store_module
+from razao.sources.store import LedgerStore
+
+
+def scans(plan):
+    """File scans of an executed plan, also behind adaptive stages."""
+    name = plan.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        return scans(plan.executedPlan())
+    if name.endswith("QueryStageExec"):
+        return scans(plan.plan())
+    if name == "FileSourceScanExec":
+        return [plan]
+    children = plan.children()
+    return [s for i in range(children.size()) for s in scans(children.apply(i))]
+
+
+def files_opened(df, folder="/transactions"):
+    """Rows of a query, and how many files of the store's folder its scans opened."""
+    rows = df.collect()
+    found = scans(df._jdf.queryExecution().executedPlan())
+    mine = [s for s in found if folder in s.relation().location().rootPaths().head().toString()]
+    return rows, sum(s.metrics().apply("numFiles").value() for s in mine)
+
+
+def put(store, name, days, units=100, batch=None):
+    """A file with a row for each day, written and published without an import."""
+    spark = store.spark
+    base = dict.fromkeys(TRANSACTIONS.names)
+    rows = spark.createDataFrame(
+        [{**base, "id": f"{name}-{i}", "file_id": name, "date": dt.date.fromisoformat(d), "amount_in_units": units} for i, d in enumerate(days)],
+        TRANSACTIONS,
+    )
+    folder = store.new_folder(name)
+    store.write_transactions(rows, folder, rows.groupBy("date").agg(F.count("*").alias("rows")))
+    entry = (name, name, "generic", f"hash-{name}", None, len(days), len(days), 0, None, None, batch, folder, False)
+    store.commit(spark.createDataFrame([entry], FILES), store.version(), batch=batch)
+
+
+DAY = ["2024-03-15"]
+
+
+# --- the journal of batches
+
+
+def test_replay_changes_nothing_whatever_became_of_the_files(spark, store):
+    both = staged(spark, [{}], "a").unionByName(staged(spark, [{"amount_raw": "1,00"}], "b"))
+    first = import_staged(store, both, batch_id="one").collect()
+    store.delete_file(store.files().filter("name = 'a'").first().id)
+
+    def replay(of):
+        assert of.has_batch("one") and not of.has_batch("two")
+        assert sorted(import_staged(of, both, batch_id="one").collect()) == sorted(first)
+        return of.ledger().count(), of.files().count()
+
+    assert replay(store) == (1, 1)
+    store.compact()
+    assert replay(store) == (1, 1)
+    assert replay(LedgerStore(spark, store.root)) == (1, 1)
+    store.clear_all()
+    assert replay(store) == (0, 0)
+
+
+def test_a_batch_of_refused_files_is_in_the_journal(spark, store):
+    put(store, "a", DAY, batch="one")
+    import_staged(store, staged(spark, [{}], "a"), batch_id="refused")
+    assert store.has_batch("refused") and store.has_batch("one")
+    store.delete_file("a")
+    assert counts(import_staged(store, staged(spark, [{}], "a"), batch_id="refused"))[0][3] == "err"
+    assert store.ledger().isEmpty()
+
+
+def test_a_mark_that_was_lost_is_written_by_the_next_commit(spark, store, monkeypatch):
+    def lost(self, batch):
+        if batch:
+            raise OSError("lost")
+
+    monkeypatch.setattr(LedgerStore, "_record", lost)
+    with pytest.raises(OSError):
+        put(store, "a", DAY, batch="one")
+    monkeypatch.undo()
+    assert store.has_batch("one") and not os.path.exists(f"{store.root}/journal")
+    store.commit(None, store.version(), batch="two")
+    assert store.has_batch("one") and store.has_batch("two")
+    assert len([n for n in os.listdir(f"{store.root}/journal") if not n.endswith(".crc")]) == 2
+    assert [r.id for r in store.files().collect()] == ["a"]
+
+
+# --- the log of deltas
+
+
+def test_a_commit_writes_only_its_own_entries(spark, store, monkeypatch):
+    monkeypatch.setattr(store_module, "DELTAS", 3)
+    entry = lambda name, note="": spark.createDataFrame(
+        [(name, name, "generic", name, None, 1, 1, 0, None, note, "b", "f", False)], FILES
+    )
+    snapshots, seen = 0, set()
+    for i in range(8):
+        store.commit(entry(f"file {i}"), store.version())
+        new = set(os.listdir(f"{store.root}/manifest")) - seen
+        seen |= new
+        snapshots += len(new) == 2
+        assert min(spark.read.parquet(f"{store.root}/manifest/{n}").count() for n in new) == 1
+    assert snapshots == 2
+    store.commit(entry("file 0", "second"), store.version())
+    store.commit(entry("file 0", "third"), store.version())  # the last entry of a file counts
+    assert sorted((r.name, r.notes) for r in store.files().collect()) == [("file 0", "third"), *((f"file {i}", "") for i in range(1, 8))]
+    store.delete_files(store.files().filter("name IN ('file 0', 'file 7')"))
+    assert store.files().count() == 6 and store.manifest().count() == 8
+
+
+# --- zones
+
+
+def test_reads_open_only_the_zones_of_their_days(spark, store, monkeypatch):
+    monkeypatch.setattr(store_module, "ZONE_ROWS", 2)
+    put(store, "january", [f"2024-01-{d:02d}" for d in range(1, 9)])
+    put(store, "march", ["2020-03-01", "2020-03-02"])
+    put(store, "stray", ["2030-01-01", "2024-01-05"])
+    zones = store.zone_map().collect()
+    assert sum(z.rows for z in zones) == 12 and len(zones) == 6
+    assert all(z.first_day <= z.last_day and z.zone.startswith(z.folder) for z in zones)
+
+    def read(*wanted):
+        table = spark.createDataFrame([(dt.date.fromisoformat(d),) for d in wanted], "date date")
+        rows, opened = files_opened(store.rows_of_days(table, store.new_staging("test")))
+        met = [z for z in zones if any(z.first_day <= dt.date.fromisoformat(d) <= z.last_day for d in wanted)]
+        assert opened == len(met) and len(rows) == sum(z.rows for z in met)
+        return {r.date.isoformat() for r in rows}
+
+    assert read("2020-03-01") >= {"2020-03-01"} and not read("2021-01-01")
+    assert {"2024-01-05", "2030-01-01"} <= read("2024-01-05", "2030-01-01")
+    assert "2030-01-01" not in read("2024-01-01")
+
+
+def test_one_day_may_fill_many_zones(store, monkeypatch):
+    monkeypatch.setattr(store_module, "ZONE_ROWS", 10)
+    put(store, "busy", DAY * 100)
+    zones = store.zone_map().collect()
+    assert sum(z.rows for z in zones) == 100 == store.ledger().count()
+    assert len(zones) > 5 and max(z.rows for z in zones) <= 25
+
+
+# --- packing and sweeping
+
+
+def test_superseded_folders_are_not_opened_packed_and_swept(store):
+    for i, name in enumerate("abcd"):
+        put(store, name, DAY, 100 * (i + 1), batch=f"batch {name}")
+    assert files_opened(store.ledger())[1] == 4
+    store.delete_file("a")
+    rows, opened = files_opened(store.ledger())
+    assert len(rows) == opened == 3  # a folder without live files is not opened
+    old = store.ledger()
+    store.compact()
+    rows, opened = files_opened(store.ledger())
+    assert sorted(r.amount_in_units for r in rows) == [200, 300, 400] and opened == 1
+    assert sorted(r.batch_id for r in store.files().collect()) == [f"batch {n}" for n in "bcd"]
+    store.sweep(keep_versions=2, older_than_seconds=0)
+    assert sorted(r.amount_in_units for r in old.collect()) == [200, 300, 400]  # its version is kept
+    assert store.sweep(keep_versions=1, older_than_seconds=3600) == 0  # nothing is that old
+    assert store.sweep(keep_versions=1, older_than_seconds=0) >= 8
+    assert store.ledger().count() == 3 and store.compact() == store.version()
+    assert len(os.listdir(f"{store.root}/transactions")) == len(os.listdir(f"{store.root}/zonemap")) == 1
+    assert all(store.has_batch(f"batch {n}") for n in "abcd")
+
+
+def test_an_import_leaves_no_work_behind(spark, store, inbox, monkeypatch):
+    path = inbox(a=NUBANK)
+    import_batch(spark, store, path, whole_file_bytes=0)
+
+    def crash(*_, **__):
+        raise OSError("lost")
+
+    monkeypatch.setattr(LedgerStore, "commit", crash)
+    with pytest.raises(OSError):
+        import_batch(spark, store, inbox(b=NUBANK + "02/08/2025,1.00,id-9,x"), whole_file_bytes=0)
+    assert not os.path.exists(store.staging_root) or os.listdir(store.staging_root) == []
+
+
+# --- defects
+
+
+@pytest.mark.parametrize("whole_file_bytes", [1 << 20, 0])
+def test_defects_are_reported_and_do_not_refuse_a_file(spark, store, inbox, whole_file_bytes):
+    path = inbox(
+        nubank=NUBANK + '03/08/2025,,id-7,sem valor\n"aberta', clean="Data,Valor,Identificador,Descrição\n01/01/2024,1.00,a,b",
+        inter="Data Lançamento;Histórico;Descrição;Valor\n 01/01/2024;Pix;Ana;1,00\n;Pix;Bia;2,00\nTotal;;;x\n",
+        header="identificador\n1",
+    )
+    report = import_batch(spark, store, path, batch_id="b", whole_file_bytes=whole_file_bytes)
+    of = {r.file_name.removesuffix(".csv"): r for r in report.collect()}
+    assert {n: (r.status, r.total_count, r.new_count, r.defect_count) for n, r in of.items()} == {
+        "nubank": ("ok", 2, 2, 4), "clean": ("ok", 1, 1, 0), "inter": ("ok", 1, 1, 2), "header": ("err", 0, 0, 2),
+    }
+    found = sorted(
+        (r.file_name.removesuffix(".csv"), r.defect, -1 if r.record_index is None else r.record_index, r.text or "")
+        for r in store.defects("b").collect()
+    )
+    assert [f[:3] for f in found] == [
+        ("header", "UndetectableDelimiter", -1), ("header", "too_few_cells", 0), ("inter", "amount_not_a_number", 2),
+        ("inter", "date_blank", 1), ("nubank", "MissingQuotes", -1), ("nubank", "cell_empty", 3),
+        ("nubank", "too_few_cells", 1), ("nubank", "too_few_cells", 4),
+    ]
+    assert ("inter", "date_blank", 1, ";Pix;Bia;2,00") in found
+
+
+def test_a_clean_batch_has_no_defects(spark, store, inbox):
+    import_batch(spark, store, inbox(a="Data,Valor,Identificador,Descrição\n01/01/2024,1.00,a,b"), batch_id="b")
+    assert store.defects("b").isEmpty()
