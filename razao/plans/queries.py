@@ -640,9 +640,7 @@ def import_defects(spark, sf_dir):
     store = _new_store(spark)
     inbox = f"{store.root}-inbox"
     sample.write_flawed_statements(spark, sf_dir, inbox)
-    report = import_batch(
-        spark, store, [f"{inbox}/nubank", f"{inbox}/inter"], batch_id="flawed", on_error="quarantine"
-    )
+    report = import_batch(spark, store, inbox, batch_id="flawed", on_error="quarantine")
     name = F.regexp_extract("file_path", "file=([^/]+)", 1).alias("file")
     flaws = store.defects("flawed").groupBy(name, "defect").agg(
         F.count(F.lit(1)).alias("lines"), F.max("record_index").alias("last_record")

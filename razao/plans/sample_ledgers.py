@@ -163,9 +163,9 @@ def write_nubank_statements(
 
 
 def write_lines(lines: DataFrame, path: str) -> None:
-    """Lines (file, number, line) as one text file for each `file`, in the order of the numbers."""
+    """Lines (file, number, line) as one text file for each `file`, in the order of the numbers; added to the folder."""
     placed = lines.repartition("file").sortWithinPartitions("file", "number")
-    placed.select("file", "line").write.partitionBy("file").text(path)
+    placed.select("file", "line").write.mode("append").partitionBy("file").text(path)
 
 
 def write_flawed_statements(spark: SparkSession, sf_dir: str, path: str) -> None:
@@ -190,7 +190,7 @@ def write_flawed_statements(spark: SparkSession, sf_dir: str, path: str) -> None
     open_quote = events.filter("file = 'error'").groupBy("file").agg((F.max("number") + 1).alias("number")).withColumn(
         "line", F.lit('"aberta')
     )
-    write_lines(file_of("Data,Valor,Identificador,Descrição", events, open_quote), f"{path}/nubank")
+    write_lines(file_of("Data,Valor,Identificador,Descrição", events, open_quote), path)
 
     status = F.col("o_orderstatus")
     cells = F.concat_ws(
@@ -200,4 +200,4 @@ def write_flawed_statements(spark: SparkSession, sf_dir: str, path: str) -> None
     orders = wide_table(spark, sf_dir, "orders").select(
         status.alias("file"), F.col("o_orderkey").cast("bigint").alias("number"), cells.alias("line")
     )
-    write_lines(file_of("Data Lançamento;Histórico;Descrição;Valor", orders, orders.limit(0)), f"{path}/inter")
+    write_lines(file_of("Data Lançamento;Histórico;Descrição;Valor", orders, orders.limit(0)), path)
