@@ -104,18 +104,24 @@ def _admitted(asking: DataFrame, quota: dict[tuple[int, int], float]) -> list:
     """For each pair of shards the last place that may move, and the bytes up to it; at most shards squared rows."""
     if not quota:
         return []
-    table_of = asking.sparkSession.createDataFrame([(*k, float(v)) for k, v in quota.items()], "shard int, to int, quota double")
     flows = asking.filter("to IS NOT NULL").groupBy("shard", "to", "place").agg(F.sum("size").alias("bytes"))
     so_far = F.sum("bytes").over(Window.partitionBy("shard", "to").orderBy("place"))
-    fits = flows.withColumn("so_far", so_far).join(F.broadcast(table_of), ["shard", "to"]).filter("so_far <= quota")
+    fits = flows.withColumn("so_far", so_far).filter(F.col("so_far") <= _of_pair(quota, -1.0))
     return fits.groupBy("shard", "to").agg(F.max("place").alias("last"), F.max("so_far").alias("bytes")).collect()
 
 
 def _moved(asking: DataFrame, last: list) -> DataFrame:
     """Labels after the moves."""
-    table_of = asking.sparkSession.createDataFrame([(r.shard, r.to, r.last) for r in last], "shard int, to int, last int")
-    met = asking.join(F.broadcast(table_of), ["shard", "to"], "left")
-    return met.select("uid", "size", F.when(F.col("place") <= F.col("last"), F.col("to")).otherwise(F.col("shard")).alias("shard"))
+    moves = F.col("place") <= _of_pair({(r.shard, r.to): r.last for r in last}, -1)
+    return asking.select("uid", "size", F.when(moves, F.col("to")).otherwise(F.col("shard")).alias("shard"))
+
+
+def _of_pair(values: dict[tuple[int, int], float], otherwise: float) -> Column:
+    """The value of a row's pair (shard, to), from a constant of at most shards squared numbers."""
+    n = 1 + max(max(pair) for pair in values)
+    flat = [values.get((shard, to), otherwise) for shard in range(n) for to in range(n)]
+    within = (F.col("shard") < n) & (F.col("to") < n)
+    return F.when(within, F.get(F.lit(flat), F.col("shard") * n + F.col("to"))).otherwise(F.lit(otherwise))
 
 
 def _fill(rows: DataFrame, room: list[float]) -> DataFrame:
