@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +41,7 @@ def new_rows(
 
 def split_rows(
     rows: DataFrame, stored: DataFrame | None, key: str = "id", order: list[str] | None = None,
-    work: str | None = None,
+    work: str | None = None, known_of: Callable[[DataFrame], DataFrame] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Accepted rows and blocked rows: copies inside the batch, and rows stored before.
 
@@ -47,6 +49,7 @@ def split_rows(
     through the aggregate that picks the first one; all others are not shuffled as long as
     the keys with copies are few. `rows` is read several times: pass a written table.
     `work` is the folder for intermediate tables; the caller removes it when the results are written.
+    `known_of` finds those of a table of distinct keys that are stored, in place of a scan of `stored`.
     """
     order = order or ["file_path", "record_index"]
     counts = materialize(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_copies")), "key-counts", work)
@@ -55,9 +58,10 @@ def split_rows(
     first = first_per_key(again, key, order)
     accepted = rows.join(copied, key, "left_anti").unionByName(first)
     later = again.join(first.select(key, *order).withColumn("_first", F.lit(True)), [key, *order], "left_anti")
-    if stored is None:
+    if known_of is None and stored is None:
         return accepted, later.select(*rows.columns)
-    known = materialize(stored_keys(counts, stored, key, work), "known-keys", work)
+    known = known_of(counts.select(key)) if known_of else stored_keys(counts, stored, key, work)
+    known = materialize(known, "known-keys", work)
     blocked = later.select(*rows.columns).unionByName(accepted.join(known, key, "left_semi").select(*rows.columns))
     return accepted.join(known, key, "left_anti"), blocked
 

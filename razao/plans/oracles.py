@@ -353,6 +353,15 @@ FROM events GROUP BY 1, 3""",
     "cleared_ledger": L + """
 SELECT CAST(c_nationkey AS VARCHAR) AS nation, count(*) AS transactions, CAST(sum(units) AS BIGINT) AS units,
   CAST(0 AS BIGINT) AS rows_when_cleared FROM l GROUP BY 1""",
+    "import_by_key_index": L + """, n AS (
+  SELECT c_nationkey, count(*) AS total, count(*) FILTER (direction = 'in') AS settled,
+    any_value(r_name) = 'AFRICA' AS gone
+  FROM l JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY 1)
+SELECT 'settled' AS batch, CAST(c_nationkey AS VARCHAR) AS nation, settled AS new_count,
+  CAST(0 AS BIGINT) AS duplicate_count FROM n WHERE settled > 0
+UNION ALL SELECT 'every', CAST(c_nationkey AS VARCHAR), total - settled, settled FROM n
+UNION ALL SELECT 'again', CAST(c_nationkey AS VARCHAR), CASE WHEN gone THEN total ELSE 0 END,
+  CASE WHEN gone THEN 0 ELSE total END FROM n""",
     "ledger_of_days": L + """
 SELECT date, count(*) AS transactions, CAST(sum(units) AS BIGINT) AS units FROM l
 WHERE date IN (SELECT CAST(o_orderdate AS DATE) FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT')

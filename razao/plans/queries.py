@@ -720,6 +720,25 @@ def packed_ledger(spark, sf_dir):
     return _by_nation(store).crossJoin(F.broadcast(folders))  # one row
 
 
+def import_by_key_index(spark, sf_dir):
+    """Orders imported before and after the ids are indexed, and again when AFRICA is deleted: new rows and known ones."""
+    store = _new_store(spark)
+    store.indexed_rows = 0  # every batch meets the index
+    staging = _orders_by_nation(spark, sf_dir)
+
+    def put(batch: str, rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("file_hash", F.concat_ws("-", F.lit(batch), "file_path"))
+        report = import_staged(store, rows, batch_id=batch)
+        return report.select(F.lit(batch).alias("batch"), col("file_name").alias("nation"), "new_count", "duplicate_count")
+
+    settled = put("settled", staging.filter(col("direction") == "in"))
+    store.index_keys(16)
+    every = put("every", staging)
+    _delete_africa(store, sf_dir)
+    store.compact()
+    return settled.unionByName(every).unionByName(put("again", staging))
+
+
 def ledger_of_days(spark, sf_dir):
     """All stored orders of the days on which an urgent order was placed that is shipped in part."""
     store = _new_store(spark)
@@ -776,7 +795,7 @@ QUERIES: dict[str, Query] = {
         dedup_reimport, file_hash_guard, reject_file_on_error, row_errors, direction_guard, occurrence_identity, suspected_duplicates, suspected_rows, monthly_rollup,
         counterparty_ranking, counterparty_ranking_by_ranges, spending_clusters,
         recurring_patterns, import_statements, import_again, import_across_sizes, blocked_rows, import_large_files,
-        import_defects, import_stream, cascade_delete, replayed_batch, packed_ledger, ledger_of_days, rows_of_file,
+        import_defects, import_stream, cascade_delete, replayed_batch, packed_ledger, import_by_key_index, ledger_of_days, rows_of_file,
         cleared_ledger, export_roundtrip,
     )
 }

@@ -34,6 +34,23 @@ def files_opened(df, folder="/transactions"):
     return rows, sum(s.metrics().apply("numFiles").value() for s in mine)
 
 
+def exchanges_above(df, folder):
+    """For each scan of the store's folder: how many shuffles its rows go through."""
+    def walk(plan, shuffles):
+        name = plan.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return walk(plan.executedPlan(), shuffles)
+        if name.endswith("QueryStageExec"):
+            return walk(plan.plan(), shuffles)
+        if name == "FileSourceScanExec":
+            return [shuffles] if folder in plan.relation().location().rootPaths().head().toString() else []
+        shuffles += name == "ShuffleExchangeExec"
+        children = plan.children()
+        return [n for i in range(children.size()) for n in walk(children.apply(i), shuffles)]
+
+    return walk(df._jdf.queryExecution().executedPlan(), 0)
+
+
 def put(store, name, days, units=100, batch=None):
     """A file with a row for each day, written and published without an import."""
     spark = store.spark
@@ -152,6 +169,81 @@ def test_one_day_may_fill_many_zones(store, monkeypatch):
     assert len(zones) > 5 and max(z.rows for z in zones) <= 25
 
 
+# --- the index of row ids
+
+
+def import_of(store, name, days):
+    """An import of a file with a row for each of the given days; how many were new, and known."""
+    rows = [{"source_row_id": str(d), "date_raw": f"{d:02d}/01/2024"} for d in days]
+    report = import_staged(store, staged(store.spark, rows, name), batch_id=name).first()
+    return report.new_count, report.duplicate_count
+
+
+def test_an_indexed_store_knows_what_the_zones_know(spark, store):
+    store.indexed_rows = 0
+    assert store.key_index() is None and import_of(store, "a", [1, 2, 3]) == (3, 0)
+    store.index_keys(4)
+    assert import_of(store, "b", [3, 4, 5]) == (2, 1)
+    assert import_of(store, "c", [1, 4, 6]) == (1, 2)
+    assert import_of(store, "only copies", [1, 6]) == (0, 2)
+    assert store.key_index().table().count() == 6 == store.ledger().count()
+    store.delete_files(store.files().filter("name = 'b'"))
+    assert import_of(store, "d", [4, 1]) == (1, 1)  # day 4 went with its file
+    store.compact()
+    assert import_of(store, "e", range(1, 8)) == (2, 5)
+    again = LedgerStore(spark, store.root, indexed_rows=0)
+    again.index_keys(8)
+    assert again.key_index().buckets == 8 and import_of(again, "f", range(1, 9)) == (1, 7)
+    days = spark.createDataFrame([(dt.date(2024, 1, d), 1) for d in range(1, 10)], "date date, rows long")
+    ids = again.ledger().select("id")
+    found = [again.stored_ids(ids, days, again.new_staging("test")).count()]
+    again.indexed_rows = 1000
+    found.append(again.stored_ids(ids, days, again.new_staging("test")).count())
+    assert found == [8, 8]
+
+
+def test_an_index_is_swept_with_its_version_and_may_be_empty(store):
+    store.indexed_rows = 0
+    store.index_keys(4)
+    assert import_of(store, "a", [1, 2]) == (2, 0)
+    store.index_keys(4)
+    store.compact()
+    store.sweep(keep_versions=1, older_than_seconds=0)
+    assert len(os.listdir(f"{store.root}/keys")) == 1 and import_of(store, "b", [2, 3]) == (1, 1)
+    store.clear_all()
+    assert import_of(store, "c", [1, 2, 3]) == (3, 0)
+
+
+def test_an_index_begun_on_an_old_version_is_not_published(store, monkeypatch):
+    put(store, "a", DAY)
+    whole = store_module.KeyIndex.write_all
+
+    def late(index, rows):
+        whole(index, rows)
+        put(LedgerStore(store.spark, store.root), "b", DAY)
+
+    monkeypatch.setattr(store_module.KeyIndex, "write_all", late)
+    with pytest.raises(RuntimeError, match="another writer"):
+        store.index_keys(4)
+    assert store.key_index() is None
+
+
+def test_a_batch_meets_the_index_without_a_shuffle_of_the_index(spark, store):
+    store.indexed_rows = 0
+    import_of(store, "a", range(1, 20))
+    store.index_keys(4)
+    import_of(store, "b", range(15, 29))
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        met = store.key_index().meet(store.ledger().select("id").filter("day(date) > 10"))
+        assert met.count() == 18
+        scan = exchanges_above(met, "/keys/")
+        assert scan == [0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
 # --- packing and sweeping
 
 
