@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from razao.llm.common import packed, table
+from razao.llm.common import packed, stored, table
 from razao.llm.words import Words, hash_spans, mix, normal_form, slices, sliding_min
 
 WINDOW, MINIMISER = 20, 3
@@ -300,6 +300,19 @@ def repeated_runs(texts: DataFrame, k: int = WINDOW, m: int = MINIMISER) -> Data
     return sent.groupBy("bucket").applyInArrow(_meet(k), _RUNS)
 
 
+def _one_of_each(texts: DataFrame) -> DataFrame:
+    """`texts` (id, version, text) with one row of each (id, version).
+
+    Only rows that have copies are shuffled, one for each map task and key; of all others only the key is.
+    """
+    copies = texts.groupBy("id", "version").count().filter("count > 1")
+    copies = stored(copies.select("id", "version"), "copies")
+    if copies.isEmpty():
+        return texts
+    once = texts.join(copies, ["id", "version"], "left_semi").groupBy("id", "version").agg(F.first("text").alias("text"))
+    return texts.join(copies, ["id", "version"], "left_anti").unionByName(once)
+
+
 def remove_repeats(docs: DataFrame, k: int = WINDOW, m: int = MINIMISER, id_: str = "doc_id", text: str = "text") -> DataFrame:
     """`row` (the input without the text), `n_words`, `n_removed` and `kept_text` (the words left, one space between)."""
     rows = packed(docs).select(
@@ -308,7 +321,7 @@ def remove_repeats(docs: DataFrame, k: int = WINDOW, m: int = MINIMISER, id_: st
         F.col(f"row.`{text}`").alias("text"),
         F.col("row").dropFields(text).alias("row"),
     )
-    runs = repeated_runs(rows.select("id", "version", "text"), k, m)
+    runs = repeated_runs(_one_of_each(rows.select("id", "version", "text")), k, m)
     of_text = runs.groupBy("id", "version").agg(F.collect_list(F.struct("start", "length")).alias("runs"))
     kind = rows.schema["row"].dataType.simpleString()
     texts = rows.mapInArrow(_squeeze, f"id long, version long, row {kind}, text binary")

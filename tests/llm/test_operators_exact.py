@@ -259,6 +259,26 @@ def test_repeats_in_messy_rows(messy, none):
     assert substring_dedup.remove_repeats(none).count() == 0
 
 
+def test_repeated_rows_are_searched_once(spark, monkeypatch):
+    words = [f"w{i}" for i in range(60)]
+    text = " ".join(words + words[:25] + ["x"] + words[10:40])
+    rows = [(1, text)] * 400 + [(None, text + " more")] * 400 + [(2, "apart " + text), (2, "another"), (2, None), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    later = substring_dedup._meet
+
+    def few(k):
+        def run(group):
+            out = later(k)(group)
+            assert out.num_rows <= 40, f"{out.num_rows} runs of four texts in one bucket"
+            return out
+
+        return run
+
+    monkeypatch.setattr(substring_dedup, "_meet", few)
+    got = taken(substring_dedup.remove_repeats(docs), "row.doc_id", "n_words", "n_removed", "kept_text")
+    assert got == brute_removed(rows, 20)
+
+
 def test_windows_with_one_hash_are_told_apart_by_their_bytes(spark, monkeypatch):
     import numpy as np
 
