@@ -63,7 +63,7 @@ def filter_view(
     return view
 
 
-def _order(key: str, descending: bool) -> list[Column]:
+def sort_order(key: str, descending: bool) -> list[Column]:
     lead = F.col(SORT_KEYS[key])
     return [
         lead.desc() if descending else lead.asc(), F.col("data").desc(), F.col("id").desc()
@@ -72,7 +72,7 @@ def _order(key: str, descending: bool) -> list[Column]:
 
 def sort_view(view: DataFrame, key: str = "date", descending: bool = True) -> DataFrame:
     """By day or absolute value; ties keep the load order (newest first, then id)."""
-    return view.orderBy(*_order(key, descending))
+    return view.orderBy(*sort_order(key, descending))
 
 
 def page(
@@ -81,7 +81,7 @@ def page(
 ) -> DataFrame:
     """One page of the sorted table, as a top-k instead of a full sort.
 
-    The work grows with the offset; walk deep tables with `page_after`.
+    The work grows with the offset; walk deep tables with `page_after`, or write them with `pages.write_pages`.
     """
     return sort_view(view, key, descending).offset(number * size).limit(size)
 

@@ -116,6 +116,9 @@ SELECT id, date AS data, units AS amount_in_units FROM l ORDER BY date, id DESC
     "table_page_after": L + """
 SELECT id, date AS data, units AS amount_in_units FROM l
 ORDER BY date DESC, id DESC LIMIT 200 OFFSET 200""",
+    "table_page_of_range": L + """
+SELECT id, date AS data, units AS amount_in_units FROM l
+ORDER BY units, date DESC, id DESC LIMIT 200 OFFSET 12200""",
     "newest_first": L + """
 SELECT id, date AS data, CASE WHEN direction = 'in' THEN 'entrada' ELSE 'saida' END AS tipo,
   counterparty AS destinatario, bank AS banco_origem FROM l ORDER BY date DESC, id DESC""",

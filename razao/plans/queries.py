@@ -13,6 +13,7 @@ from razao.operators import analytics, views
 from razao.operators.dedup import file_summary, new_files, new_rows, split_rows, without_bad_files
 from razao.operators.normalize import normalize
 from razao.operators.occurrence import with_occurrence_ids
+from razao.operators.pages import write_pages
 from razao.plans import sample_ledgers as sample
 from razao.plans.importer import import_batch, import_staged
 from razao.plans.sample_ledgers import events_ledger, orders_ledger, table, wide_table
@@ -101,6 +102,13 @@ def table_page_after(spark, sf_dir):
     return _shown(views.page_after(view, first))
 
 
+def table_page_of_range(spark, sf_dir):
+    """A page far down, from the one range of the sorted table that holds it."""
+    view = _shown(views.transaction_view(orders_ledger(spark, sf_dir)))
+    folder = f"{scratch_root(spark)}/pages-{uuid.uuid4().hex}"
+    return write_pages(view, folder, "value", descending=False, range_rows=1000).page(61)
+
+
 def newest_first(spark, sf_dir):
     """The whole table, newest first."""
     view = views.transaction_view(orders_ledger(spark, sf_dir))
@@ -787,7 +795,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         summary_cards, monthly_totals, filtered_view, own_transfers_view, filtered_totals, table_page,
-        table_page_by_date, table_page_after, newest_first, file_overview, currency_totals,
+        table_page_by_date, table_page_after, table_page_of_range, newest_first, file_overview, currency_totals,
         money_display, money_parse_formats, date_parse_formats, event_days, identity_texts,
         cluster_keys, text_safety, counterparty_keys, own_transfer_flag, row_identity,
         row_identity_fnv, inter_line_roundtrip, nubank_line_roundtrip, generic_line_roundtrip,

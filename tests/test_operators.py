@@ -10,9 +10,10 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from test_store import scans
 
 from razao.functions import csv, money
-from razao.operators import analytics, dedup, views
+from razao.operators import analytics, dedup, pages, views
 from razao.operators.normalize import normalize
 from razao.operators.occurrence import with_occurrence_ids
 from razao.operators.ranking import dense_rank_desc
@@ -99,6 +100,23 @@ def test_pages(ledger, rows, key, descending):
     assert "TakeOrderedAndProject" in plan(second) and "rangepartitioning" not in plan(second)
 
 
+@pytest.mark.parametrize("key", ["date", "value"])
+@pytest.mark.parametrize("descending", [True, False])
+def test_pages_of_ranges(ledger, tmp_path, key, descending):
+    view = views.transaction_view(ledger).select("id", "data", "amount_in_units").cache()
+    paged = pages.write_pages(view, str(tmp_path / "pages"), key, descending, range_rows=150)
+    ranges = paged.starts.count()
+    assert ranges > 4
+    for number in (0, 1, 3, 4, 5, 9):
+        found = paged.page(number)
+        assert found.collect() == views.page(view, number, key, descending).collect()
+        opened = sum(s.metrics().apply("numFiles").value() for s in scans(found._jdf.queryExecution().executedPlan()))
+        assert opened <= 4 < ranges or not found.count()
+    again = pages.PagedTable(view.sparkSession, paged.folder, view.schema, key, descending)
+    assert again.page(7, 30).collect() == views.page(view, 7, key, descending, 30).collect()
+    assert pages.write_pages(view.filter("id = 'x'"), str(tmp_path / "none"), key, descending).page(0).count() == 0
+
+
 def test_money_of_different_currencies_is_not_added(ledger):
     assert views.single_total(ledger).first().currency == "BRL"
     mixed = ledger.withColumn("currency", F.when(F.col("direction") == "in", "USD").otherwise("BRL"))
