@@ -117,6 +117,16 @@ def test_pages_of_ranges(ledger, tmp_path, key, descending):
     assert pages.write_pages(view.filter("id = 'x'"), str(tmp_path / "none"), key, descending).page(0).count() == 0
 
 
+def test_pages_of_few_large_ranges(ledger, tmp_path, monkeypatch):
+    monkeypatch.setattr(pages, "MOST_RANGES", 3)
+    view = views.transaction_view(ledger).select("id", "data", "amount_in_units").cache()
+    paged = pages.write_pages(view, str(tmp_path / "pages"), "value", False, range_rows=20)
+    assert paged.starts.count() <= 3  # the sample of their borders grows with the ranges
+    for number in (0, 2, 4, 9):
+        assert paged.page(number).collect() == views.page(view, number, "value", False).collect()
+    assert paged.page(7, 30).collect() == views.page(view, 7, "value", False, 30).collect()
+
+
 def test_money_of_different_currencies_is_not_added(ledger):
     assert views.single_total(ledger).first().currency == "BRL"
     mixed = ledger.withColumn("currency", F.when(F.col("direction") == "in", "USD").otherwise("BRL"))
