@@ -8,6 +8,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from razao.fixed_values import WHITESPACE_CHARS
 from razao.functions import dates, identity, money, text
 
 
@@ -234,3 +235,17 @@ def test_identity_strings(spark):
         identity.suspicion_string(d, F.lit(10000), F.lit("out")).alias("b"),
     ).first()
     assert row == ("1710460800000|10000|out|pix enviado|row-1", "1710460800000|10000|out")
+
+
+def test_white_space_class_is_the_white_space_characters(spark):
+    """All characters of the basic plane, alone and inside text."""
+    chars = spark.range(1, 0x10000).filter("id NOT BETWEEN 55296 AND 57343").selectExpr("CAST(id AS int) AS code")
+    one = F.decode(F.unhex(F.lpad(F.hex("code"), 4, "0")), "UTF-16BE")
+    rows = chars.select("code", F.concat(F.lit("a"), one, F.lit("b")).alias("v")).select(
+        "code", (text.collapse(F.col("v")) == "a b").alias("found"))
+    assert {r.code for r in rows.filter("found").collect()} == {ord(c) for c in WHITESPACE_CHARS}
+
+
+def test_numbers_leave_a_cluster_key(spark):
+    rows = spark.createDataFrame([("a 123 b12 1234x 99 x999 7777 _123 \u260e",)], "v string")
+    assert rows.select(text.cluster_key(F.col("v")).alias("k")).first().k == "a b12 1234x 99 x999 123"

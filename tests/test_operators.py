@@ -221,6 +221,12 @@ def test_normalize_is_one_stage_without_python(spark):
     assert "Exchange" not in text and "Python" not in text
 
 
+def test_folded_texts_are_computed_once(spark):
+    staging = spark.createDataFrame([], STAGING)
+    shown = plan(normalize(staging.filter("file_path IS NOT NULL")))
+    assert re.search(r"_folded#\d+, _party_words#\d+\]", shown) and shown.count("Generate inline") == 5
+
+
 def test_view_filters_reach_the_scan(spark, ledger, tmp_path):
     store = LedgerStore(spark, str(tmp_path / "s"))
     stored = store.write_transactions(ledger, "b1")
