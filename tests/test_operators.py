@@ -193,6 +193,19 @@ def test_rows_without_copies_are_not_aggregated(spark):
     assert "BroadcastHashJoin" in shown and "SortMergeJoin" not in shown
 
 
+def test_keys_of_one_hash_are_no_copies(spark, monkeypatch):
+    """Copies are counted by hash first; keys that only share a hash, and null keys, are accepted all the same."""
+    rows = spark.createDataFrame(
+        [("a", "f", 1), ("b", "f", 2), ("a", "f", 3), (None, "f", 4), (None, "f", 5)],
+        "id string, file_path string, record_index int",
+    )
+    monkeypatch.setattr(dedup.F, "xxhash64", lambda *_: F.lit(1).cast("bigint"))
+    assert [r.id for r in dedup.copied_keys(rows, "id").collect() if r.id] == ["a"]
+    accepted, blocked = dedup.split_rows(rows, rows.filter("id = 'b'").select("id"))
+    assert sorted(r.record_index for r in accepted.collect()) == [1, 4, 5]
+    assert sorted(r.record_index for r in blocked.collect()) == [2, 3]
+
+
 def test_stored_table_is_not_shuffled_for_a_small_batch(spark):
     batch = spark.range(10).selectExpr("cast(id as string) as id")
     stored = spark.range(1000).selectExpr("cast(id * 2 as string) as id")

@@ -3,10 +3,12 @@
 import datetime as dt
 import os
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from test_import import NUBANK, counts, inbox, staged, store  # noqa: F401
 
+from razao.plans import importer
 from razao.plans.importer import import_batch, import_staged
 from razao.schema import FILES, TRANSACTIONS
 from razao.sources import store as store_module
@@ -281,6 +283,58 @@ def test_an_import_leaves_no_work_behind(spark, store, inbox, monkeypatch):
     assert not os.path.exists(store.staging_root) or os.listdir(store.staging_root) == []
 
 
+# --- the disk of an import
+
+
+def work_of(store):
+    """Labels of the tables in the store's work folders."""
+    found = [d for top, dirs, _ in os.walk(store.staging_root) for d in dirs if top != store.staging_root and d != "read"]
+    return {d.rpartition("-")[0] for d in found}
+
+
+def test_an_import_leaves_no_shuffle_files(spark, store, inbox):  # noqa: F811
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f.getName() for f in (files.apply(i) for i in range(files.size())) if f.getName().endswith(".data")}
+
+    before = shuffled()
+    import_batch(spark, store, inbox(a=NUBANK))
+    assert store.version() == 1 and len(shuffled() - before) <= 8  # those of counts
+
+
+def test_rows_are_stored_packed(spark, store, inbox):  # noqa: F811
+    import_batch(spark, store, inbox(a=NUBANK), batch_id="a", on_error="quarantine")
+    import_batch(spark, store, inbox(a=NUBANK + "09/08/2025,1.00,id-9,x"), batch_id="b", on_error="quarantine")
+    store.index_keys(2)
+    for table in ("transactions", "blocked", "manifest", "keys"):
+        files = [f for top, _, names in os.walk(f"{store.root}/{table}") for n in names if (f := f"{top}/{n}").endswith(".parquet")]
+        groups = [m.row_group(0) for f in files if (m := pq.ParquetFile(f).metadata).num_row_groups]
+        assert groups and {g.column(0).compression for g in groups} == {"ZSTD"}
+
+
+def test_large_batches_are_dealt_in_parts(spark, store, monkeypatch):  # noqa: F811
+    """Rows, their ids and their suspicion keys are the same as those of one part."""
+    def imports(target, names):
+        target.indexed_rows = 0
+        found = [import_of(target, "a", range(1, 9))]
+        target.index_keys(2)
+        found += [import_of(target, "b", range(3, 13)), import_of(target, "c", [2, 2, 20])]
+        blocked = [r for b in "bc" for r in target.blocked(b).select(*names).collect()]
+        return found, sorted(map(str, target.ledger().select(*names).collect())), sorted(map(str, blocked))
+
+    names = ["id", "date", "amount_in_units", "possible_duplicate_key", "source_row_id"]
+    want = imports(store, names)
+    for module, name, value in ((store_module, "ZONE_ROWS", 2), (store_module, "PART_ROWS", 4), (importer, "PART_ROWS", 4),
+                                (importer, "MANY_KNOWN", 1)):
+        monkeypatch.setattr(module, name, value)
+    other = LedgerStore(spark, f"{store.root}-parts")
+    assert imports(other, names) == want and want[0] == [(8, 0), (4, 6), (1, 2)]
+    assert other.zone_map().count() >= 5
+    day = (F.unix_date("date").cast("bigint") * 86_400_000).cast("string")
+    key = F.sha2(F.concat_ws("|", day, F.col("amount_in_units").cast("string"), "direction"), 256)
+    assert other.ledger().filter(F.col("possible_duplicate_key") == key).count() == 13
+
+
 # --- defects
 
 
