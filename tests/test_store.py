@@ -11,6 +11,7 @@ from test_import import NUBANK, counts, inbox, staged, store  # noqa: F401
 from razao.plans import importer
 from razao.plans.importer import import_batch, import_staged
 from razao.schema import FILES, TRANSACTIONS
+from razao.sources import statements
 from razao.sources import store as store_module
 from razao.sources.store import LedgerStore
 
@@ -292,6 +293,31 @@ def work_of(store):
     return {d.rpartition("-")[0] for d in found}
 
 
+@pytest.mark.parametrize("whole_file_bytes", [1 << 20, 0])
+def test_tables_of_an_import_go_when_they_are_read(store, inbox, monkeypatch, whole_file_bytes):  # noqa: F811
+    """Lines and records are gone when rows are normalized, rows when they are in the ledger."""
+    seen = {}
+
+    def watch(name):
+        true = getattr(LedgerStore, name)
+        monkeypatch.setattr(LedgerStore, name, lambda *a, **k: (seen.setdefault(name, work_of(store)), true(*a, **k))[1])
+
+    watch("write_defects")
+    watch("index_folder")
+    path = inbox(a=NUBANK + '03/08/2025,5.00,id-7,"zwei\nZeilen"')
+    import_batch(store.spark, store, path, whole_file_bytes=whole_file_bytes)
+    assert store.ledger().count() == 3
+    assert seen["write_defects"] == {"rows"} and not seen["index_folder"] & {"rows", "accepted", "known-keys", "keys"}
+
+
+def test_lines_go_when_records_are_written(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(NUBANK + '03/08/2025,5.00,id-7,"zwei\nZeilen"')
+    rows = statements.read_statements(spark, str(tmp_path / "a.csv"), whole_file_bytes=0, work=str(tmp_path / "work"))
+    left = {d.rpartition("-")[0] for d in os.listdir(tmp_path / "work")}
+    assert "large-records" in left and not left & {"lines", "quote-states", "record-lines", "records", "data"}
+    assert rows.count() == 3
+
+
 def test_an_import_leaves_no_shuffle_files(spark, store, inbox):  # noqa: F811
     def shuffled():
         files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
