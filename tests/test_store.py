@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_import import NUBANK, counts, inbox, staged, store  # noqa: F401
 
+from razao import session
 from razao.plans import importer
 from razao.plans.importer import import_batch, import_staged
 from razao.schema import FILES, TRANSACTIONS
@@ -328,6 +329,17 @@ def test_an_import_leaves_no_shuffle_files(spark, store, inbox):  # noqa: F811
     assert store.version() == 1 and len(shuffled() - before) <= 8  # those of counts
 
 
+def test_writers_at_once_leave_the_setting_as_it_was(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, first, second = spark.conf.get(key, None), session.shuffles_removed(spark), session.shuffles_removed(spark)
+    first.__enter__()
+    second.__enter__()
+    first.__exit__(None, None, None)
+    assert spark.conf.get(key) == "true"
+    second.__exit__(None, None, None)
+    assert spark.conf.get(key, None) == before != "true"
+
+
 def test_rows_are_stored_packed(spark, store, inbox):  # noqa: F811
     import_batch(spark, store, inbox(a=NUBANK), batch_id="a", on_error="quarantine")
     import_batch(spark, store, inbox(a=NUBANK + "09/08/2025,1.00,id-9,x"), batch_id="b", on_error="quarantine")
